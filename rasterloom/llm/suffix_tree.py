@@ -12,7 +12,7 @@ that is a state.
 Beside it stands the word model that the contract fixes: smoothed counts of whole words.
 
 How it scales: one pass over the training texts counts strings of ``DEPTH + 1`` symbols and words, summed by
-the cluster. A level of the tree holds at most ``STRINGS`` transitions of 16 bytes, the most frequent ones; what
+the cluster (counts travel as blocks of bytes by bucket of keys, so that summing them is array work). A level of the tree holds at most ``STRINGS`` transitions of 16 bytes, the most frequent ones; what
 rarer ones would take is left to the parent. That bounds what is broadcast; the counts themselves cover every
 training text. Word counts are not bounded, so words seen more than once in ``WORDS`` are broadcast (at most ``WORDS``) and all
 others are joined by their hash.
@@ -31,11 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 DEPTH = 6
 END = 10
@@ -43,10 +42,12 @@ STRINGS = 1 << 20
 LEAST_CONTEXT = 4
 GAIN = 0.5
 WORDS = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 HELD_STRINGS = 2 << 20
 #: Counts from here on are one bar of the histogram from which a level's least count is read.
 BARS = 4_096
+#: Buckets of keys for each partition of the input.
+BUCKETS = 4
 #: The key of the end token among the words' hashes.
 END_KEY = 0
 
@@ -91,63 +92,115 @@ def grouped(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield some
 
 
-def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, key, n): kind 0 strings of symbols, kind 1 words; summed over some megabytes each."""
-    keys, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    words: Counter = Counter()
-    ends = 0
-
-    def strings() -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.int32(0), "key": keys, "n": times})
-
-    def word_rows() -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.int32(1), "key": [END_KEY, *map(word_key, words)], "n": [ends, *words.values()]})
-
-    for b in batches:
-        for some in grouped(b.text.array):
-            new, n = np.unique(windows(some)[0], return_counts=True)
-            both = np.concatenate([keys, new])
-            order = np.argsort(both, kind="stable")
-            both, n = both[order], np.concatenate([times, n])[order]
-            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            keys, times = both[first], np.add.reduceat(n, first)
-            for w in some:
-                words.update(w)
-            ends += len(some)
-            if len(keys) > HELD_STRINGS:
-                yield strings()
-                keys, times = keys[:0], times[:0]
-            if len(words) > HELD_STRINGS // 2:
-                yield word_rows()
-                words, ends = Counter(), 0
-    if len(keys):
-        yield strings()
-    if ends:
-        yield word_rows()
+def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and the sums of their counts."""
+    both = np.concatenate(keys)
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    return both[first], np.add.reduceat(np.concatenate(times)[order], first)
+
+
+def _dealt(kind: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> pd.DataFrame:
+    """The counts as a block of bytes for each bucket of keys."""
+    bucket = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, times, bucket = keys[order], times[order], bucket[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[first[1:], len(keys)]
+    blocks = [(int(bucket[i]), kind, keys[i:j].tobytes(), times[i:j].tobytes()) for i, j in zip(first, ends)]
+    return pd.DataFrame(blocks, columns=["bucket", "kind", "keys", "times"])
+
+
+def counter(buckets: int):
+    """Counts of strings (kind 0) and words (kind 1) of batches, in blocks that hold some megabytes of text."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        words: Counter = Counter()
+        ends = held = 0
+
+        def word_rows() -> pd.DataFrame:
+            return _dealt(1, np.array([END_KEY, *map(word_key, words)], dtype=np.int64), np.array([ends, *words.values()], dtype=np.int64), buckets)
+
+        for b in batches:
+            for some in grouped(b.text.array):
+                new, n = np.unique(windows(some)[0], return_counts=True)
+                keys.append(new)
+                times.append(n)
+                held += len(new)
+                for w in some:
+                    words.update(w)
+                ends += len(some)
+                if 2 * held > 3 * HELD_STRINGS:
+                    k, n = _merged(keys, times)
+                    keys, times, held = [k], [n], len(k)
+                    if held > HELD_STRINGS:
+                        yield _dealt(0, k, n, buckets)
+                        keys, times, held = [], [], 0
+                if len(words) > HELD_STRINGS // 4:
+                    yield word_rows()
+                    words, ends = Counter(), 0
+        if held:
+            yield _dealt(0, *_merged(keys, times), buckets)
+        if ends:
+            yield word_rows()
+
+    return count
+
+
+def total(blocks: pd.DataFrame) -> pd.DataFrame:
+    """kind, key, n of one bucket: its blocks' counts summed."""
+    out = []
+    for kind, own in blocks.groupby("kind"):
+        keys, n = _merged([np.frombuffer(k, dtype=np.int64) for k in own["keys"]], [np.frombuffer(t, dtype=np.int64) for t in own.times])
+        out.append(pd.DataFrame({"kind": np.int32(kind), "key": keys, "n": n}))
+    return pd.concat(out)
+
+
+def turned(keys: np.ndarray, symbols: int) -> np.ndarray:
+    """Strings of so many symbols with the newest symbol first, so that suffixes sort next to one another."""
+    if not symbols:
+        return keys
+    return (np.ascontiguousarray(keys).view(np.uint64).byteswap() >> np.uint64(64 - 8 * symbols)).view(np.int64)
 
 
 @dataclass
 class Tree:
-    """By depth d: states' keys and shares left to the parent; transitions' keys and probabilities, sorted."""
+    """By depth d: states' turned keys and shares left to the parent; transitions' turned keys and shares, sorted."""
 
     states: list[np.ndarray]
     left: list[np.ndarray]
     moves: list[np.ndarray]
     chance: list[np.ndarray]
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each window, in the longest suffix of the others that is a state."""
-        p = np.full(len(keys), 1 / 256)
-        inside = np.ones(len(keys), dtype=bool)
-        for d in range(len(self.states)):
-            move = keys & ((1 << 8 * (d + 1)) - 1)
-            found, i = _find(self.states[d], move >> 8)
-            inside &= found
-            hit, j = _find(self.moves[d], move)
-            if len(self.states[d]):
-                p = np.where(inside, self.left[d][i] * p, p)
-                p = np.where(inside & hit, p + self.chance[d][j], p)
-        return np.log10(p)
+    def log10(self, keys: np.ndarray, symbols: int = DEPTH + 1) -> np.ndarray:
+        """Of the newest symbol of each string of so many symbols, in the longest suffix of the others that is a state.
+
+        The strings are sorted once; each level then looks up its different suffixes only, in rising order.
+        """
+        order = np.argsort(turned(keys, symbols))
+        sorted_ = turned(keys, symbols)[order]
+        of = np.zeros(len(keys), dtype=np.int64)  # each string's suffix at the level before
+        p, inside = np.full(1, 1 / 256), np.ones(1, dtype=bool)
+        for d in range(min(len(self.states), symbols)):
+            suffix = sorted_ >> 8 * (symbols - d - 1)
+            new = np.r_[True, suffix[1:] != suffix[:-1]] if len(suffix) else np.zeros(0, dtype=bool)
+            p, inside, suffix, of = p[of[new]], inside[of[new]], suffix[new], np.cumsum(new) - 1
+            # Only below a state can there be a state.
+            at = np.flatnonzero(inside)
+            found, i = _find(self.states[d], suffix[at] & ((1 << 8 * d) - 1))
+            at, i = at[found], i[found]
+            inside = np.zeros(len(suffix), dtype=bool)
+            inside[at] = True
+            if len(at):
+                p[at] *= self.left[d][i]
+                hit, j = _find(self.moves[d], suffix[at])
+                p[at[hit]] += self.chance[d][j[hit]]
+        out = np.empty(len(keys))
+        out[order] = np.log10(p)[of]
+        return out
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,46 +216,48 @@ def grow(strings: DataFrame, depth: int = DEPTH, strings_bound: int = STRINGS, l
     The counts of shorter strings are sums over longer ones with the same end. The driver gets at most
     ``strings_bound`` transitions a level, the most frequent ones.
     """
+    levels = [strings]
+    for d in range(depth - 1, -1, -1):
+        short = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
+        levels.append(cut(levels[-1].groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "lm-level"))
     states, left, moves, chance = [], [], [], []
-    parent = None
-    for d in range(depth + 1):
-        mask = (1 << 8 * (d + 1)) - 1
-        seen = strings.groupBy((F.col("key").bitwiseAND(F.lit(mask))).alias("key")).agg(F.sum("n").alias("n"))
-        seen = seen.withColumn("ctx", F.shiftright("key", 8)).persist(StorageLevel.DISK_ONLY)
+    for d, seen in enumerate(reversed(levels)):
+        seen = seen.withColumn("ctx", F.shiftright("key", 8))
         bars = sorted(seen.groupBy(F.least("n", F.lit(BARS)).alias("bar")).count().collect(), reverse=True)
         over = np.cumsum([r[1] for r in bars]) > strings_bound
         floor = 1 if not over.any() else int(bars[int(over.argmax())][0]) + 1
-        per = seen.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        kept = seen.where(F.col("n") >= F.lit(floor)).join(per.where(F.col("total") >= F.lit(least)), "ctx")
+        per = seen.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= F.lit(least))
+        kept = seen.where(F.col("n") >= F.lit(floor)).join(per, "ctx")
         if floor > BARS:  # more than strings_bound transitions are that frequent
             kept = kept.orderBy(F.desc("n"), "key").limit(strings_bound)
-        got = kept.select("key", "n", "total", "kinds").toPandas().sort_values("key", ignore_index=True)
-        seen.unpersist()
-        key = got.key.to_numpy()
-        ctx = key >> 8
-        n, tot, kinds = (got[c].to_numpy().astype(float) for c in ("n", "total", "kinds"))
-        heads, first, inv = np.unique(ctx, return_index=True, return_inverse=True)
+        got = kept.select("key", "n", (F.col("total") + F.col("kinds")).alias("unit"), F.col("kinds").cast("int").alias("kinds")).toArrow()
+        key, n, unit, kinds = (got.column(c).to_numpy() for c in ("key", "n", "unit", "kinds"))
+        del got
+        order = np.argsort(turned(key, d + 1))
+        key, n, unit, kinds = key[order], n[order], unit[order], kinds[order]
+        heads, first, inv = np.unique(turned(key >> 8, d), return_index=True, return_inverse=True)
         # What rare transitions would take goes to the parent with the rest.
-        rest = tot[first] + kinds[first] - np.bincount(inv, weights=n, minlength=len(heads))
-        share = rest / (tot[first] + kinds[first]) if len(heads) else np.zeros(0)
-        own = n / (tot + kinds)
-        if parent is None:
+        share = 1 - np.bincount(inv, weights=n, minlength=len(heads)) / unit[first]
+        own = n / unit
+        if not d:
             keep = np.ones(len(heads), dtype=bool)
         else:
-            below = 10 ** parent.log10(key)
-            smooth = own + share[inv] * below
-            won = np.bincount(inv, weights=n * np.log(smooth / below), minlength=len(heads))
-            closed, _ = _find(parent.states[-1], heads & ((1 << 8 * (d - 1)) - 1))
+            parent = Tree(states, left, moves, chance)
+            below = 10 ** parent.log10(key, d + 1)
+            won = np.bincount(inv, weights=n * np.log((own + share[inv] * below) / below), minlength=len(heads))
+            closed, _ = _find(states[-1], heads >> 8)
             keep = (won > gain * kinds[first]) & closed
+            del below
         yes = keep[inv] if len(heads) else np.zeros(0, dtype=bool)
         states.append(heads[keep])
-        left.append(share[keep])
-        moves.append(key[yes])
-        chance.append(own[yes])
-        parent = Tree(states, left, moves, chance)
-        if not len(heads[keep]):
+        left.append(share[keep].astype(np.float32))
+        moves.append(turned(key[yes], d + 1))
+        chance.append(own[yes].astype(np.float32))
+        if not keep.any():
             break
-    return parent
+    for level in levels[1:]:
+        discard(level)
+    return Tree(states, left, moves, chance)
 
 
 def scorer(tree, frequent, train_tokens: int, kinds: int):
@@ -239,7 +294,7 @@ def scorer(tree, frequent, train_tokens: int, kinds: int):
                             rare.append(m[0])
                             times.append(n)
                     out.append((len(words) + 1, hits, base, float(log), rare, times))
-                    if len(memo) > 300_000:
+                    if len(memo) > 150_000:
                         memo.clear()
                 got = pd.DataFrame(out, columns=["n_tokens", "hits", "base", "score", "rare", "times"])
                 yield pd.concat([rows[["doc_id", "held_out"]].reset_index(drop=True), got], axis=1)
@@ -261,8 +316,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = chosen.withColumn("held_out", held_out if held_out is not None else tenth() == 0)
-    counted = chosen.where(~F.col("held_out")).select("text").mapInPandas(count, "kind int, key long, n long")
-    counted = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    training = chosen.where(~F.col("held_out")).select("text")
+    blocks = training.mapInPandas(counter(BUCKETS * training.rdd.getNumPartitions()), "bucket int, kind int, keys binary, times binary")
+    counted = cut(blocks.groupBy("bucket").applyInPandas(total, "kind int, key long, n long"), "lm-counts")
     tree = grow(counted.where("kind = 0").select("key", "n"))
     words = counted.where("kind = 1").select("key", "n")
     all_, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
