@@ -143,6 +143,25 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 SKETCHED = "k long, t1 long, doc_id long, cid binary, n int, trees array<long>, mini binary"
 
 
+def spanning(links: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Links (i, j, shared, like) that keep together, at every depth, what all links keep together."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    out = []
+    for link in sorted(links, key=lambda x: (-x[2], -x[3])):
+        a, b = find(int(link[0])), find(int(link[1]))
+        if a != b:
+            root[b] = a
+            out.append(link)
+    return out
+
+
 def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between near places of sorted (tree, string) rows: a, b, shared labels, similarity by sketch."""
     last = None
@@ -170,7 +189,7 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found += list(zip(i[near], j[near], shared[near], like[near]))
         if found:
             cid = rows.cid.array
-            pairs = [(*sorted((cid[i], cid[j])), int(s), float(l)) for i, j, s, l in found]
+            pairs = [(*sorted((cid[i], cid[j])), int(s), float(l)) for i, j, s, l in spanning(found)]
             yield pd.DataFrame(pairs, columns=["a", "b", "shared", "like"])
         last = rows.iloc[-NEXT:].reset_index(drop=True)
 
@@ -283,7 +302,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = classes.select("cid", "rep", "copies").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     firsts = known.groupBy("root").agg(F.min("rep").alias("first"))
     known = known.join(firsts, "root").join(links, "cid", "left")
-    known = known.select("cid", "first", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # Written first: a join of two plain tables is one whose hot classes Spark can split.
+    known = cut(known.select("cid", "first", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-known")
     return rows.select("k", "t1", "doc_id", "n", "cid").join(known, (rows.cid == known.cid) & (rows.n > 0), "left").select(
         "k", "t1", "doc_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", itself).alias("first")
     )
