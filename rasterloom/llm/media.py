@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 Validator = Callable[[bytes, int], int]
 SAMPLE_WIDTH = 64
+#: Rows that a worker turns over at a time.
+ROWS = 256
 
 
 def _png(b: bytes, at: int) -> int:
@@ -190,6 +192,12 @@ def find_media(value: bytes | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), ROWS):
+            yield b.iloc[i : i + ROWS]
+
+
 def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "declared") -> DataFrame:
     """``df`` with ``detected`` (corrected type) and ``media`` (type, start, length, bytes of all media)."""
     kept = [f for f in df.schema.fields if f.name not in ("detected", "media")]
@@ -198,7 +206,7 @@ def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "decl
     schema += ", detected string, media array<struct<type:string,start:long,length:long,bytes:binary>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             detected, media = [], []
             for value, declared in zip(b[content_col].array, b[declared_col].array):
                 found = find_media(value)
@@ -277,7 +285,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes, declared, content: every text as a media value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             got = [store(t if isinstance(t, str) else None) for t in b.text.array]
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_bytes": [g[0] for g in got], "declared": [g[1] for g in got], "content": [g[2] for g in got]})
 
