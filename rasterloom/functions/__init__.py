@@ -1 +1 @@
-
+"""Per-sample column functions."""

@@ -1 +1 @@
-
+"""Raster operators: DataFrame to DataFrame."""

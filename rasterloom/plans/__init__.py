@@ -1 +1 @@
-
+"""Plans: named queries, their SQL, parameters, the whole run and its controls."""

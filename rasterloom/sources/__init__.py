@@ -1 +1 @@
-
+"""Where rasters come from."""
