@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels and pointer jumping, all on the cluster."""
+"""Connected components of an edge table by contraction, all on the cluster."""
 
 from __future__ import annotations
 
@@ -9,21 +9,24 @@ from .shared import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the least node of its component.
+    """(node, root) for every node of ``edges`` (a, b) that has an edge to another; one root a component.
 
-    In each round a node takes the least label among its own and its neighbours', then its label's label.
-    Rounds grow with the logarithm of a component's diameter. A round's labels are written to the shared folder.
+    In each round a node takes the least of itself and its neighbours as its label, and the edges between
+    different labels are the next round's graph, which has at most half the nodes. What a round reads shrinks
+    with it; its tables are written to the shared folder.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc-labels")
+    pairs = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
     while True:
-        offers = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        near = labels.join(offers, "node").select("node", "root", F.least("root", "offer").alias("new"))
-        jumps = labels.select(F.col("node").alias("new"), F.col("root").alias("jump"))
-        after = cut(near.join(jumps, "new").select("node", F.least("new", "jump").alias("root"), (F.least("new", "jump") != F.col("root")).alias("moved")), "cc-labels")
-        moved = after.where("moved").limit(1).count()
-        discard(labels)
-        labels = after
-        if not moved:
-            discard(both)
-            return labels.select("node", "root")
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc-labels")
+        up = near.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        labels, old = near if labels is None else cut(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels"), labels
+        ends = pairs.join(near.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        rest = cut(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        for done in (pairs, old):
+            if done is not None and done is not labels:
+                discard(done)
+        if rest.isEmpty():
+            return labels
+        pairs = rest
