@@ -73,7 +73,7 @@ def swapped(text: str, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, turns
             found = True
             return at[0][(at[1] + turn) % len(at[0])]
 
-        sentences = [WORD.sub(other, s) for s in SENTENCE.split(text)]
+        sentences = [WORD.sub(other, s) for s in SENTENCE.split(text) if s]
         if not found:
             return []
         out.append(" ".join(sentences))
