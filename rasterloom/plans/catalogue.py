@@ -279,6 +279,15 @@ def pyramid_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
 
 # Fusion.
 
+#: Fused samples are given as shares of this white level. It is no dyadic number: most samples are, and
+#: would stand on the border of a rounding, where the last bit of a sum decides.
+WHITE = 318.309886
+SHARES = "SELECT y, x, " + ", ".join(f"round({c} / {WHITE}::DOUBLE, 6) + 0.0 AS {c}" for c in "rgb") + " FROM {}"
+
+
+def shares(r: Raster) -> DataFrame:
+    return r.df.select(*r.at, *[(F.round(F.col(c) / WHITE, 6) + 0.0).alias(c) for c in r.cols])
+
 
 def _salience(src: str, size: tuple[int, int], radius: int) -> str:
     return S.box_sum(f"(SELECT frame_idx, y, x, CAST(r AS DOUBLE) * r + CAST(g AS DOUBLE) * g + CAST(b AS DOUBLE) * b AS s FROM {src})", "frame_idx", "s", size, radius)
@@ -308,10 +317,10 @@ def blend_level(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fusion.accumulate(r, event_weights(r), cov.coverage(dyadic_transforms(spark), *S.EVT_AT)))
 
 
-@query(S.with_(*HOT_W, ("acc", S.accumulate("e", "w", "c0", S.EVT_AT)), ("ev", S.EVERY.format("c0")), then=S.rounded(f"({S.uncovered('acc', 'ev')})", "", RGB, 3)))
+@query(S.with_(*HOT_W, ("acc", S.accumulate("e", "w", "c0", S.EVT_AT)), ("ev", S.EVERY.format("c0")), then=SHARES.format(f"({S.uncovered('acc', 'ev')})")))
 def normalize_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     r, rects = event_frames(spark, sf), cov.coverage(dyadic_transforms(spark), *S.EVT_AT)
-    return rounded(fusion.normalise_uncovered(fusion.accumulate(r, event_weights(r), rects), cov.every_frame(rects)), 3)
+    return shares(fusion.normalise_uncovered(fusion.accumulate(r, event_weights(r), rects), cov.every_frame(rects)))
 
 
 def _fused(kind: str) -> str:
@@ -325,12 +334,12 @@ def _fused(kind: str) -> str:
             steps += [(f"a{i}", S.accumulate(band, "w" if i == 0 else f"w{i}", f"c{i}", SIZES[i])), (f"f{i}", S.uncovered(f"a{i}", f"v{i}"))]
     for i in (1, 0):
         steps += [(f"y{i}", S.expand("f2" if i == 1 else "z1", "", RGB, SIZES[i + 1], SIZES[i])), (f"z{i}", S.combine(f"f{i}", f"y{i}", "", RGB, "+"))]
-    return S.with_(*steps, then=S.rounded("z0", "", RGB, 2))
+    return S.with_(*steps, then=SHARES.format("z0"))
 
 
 def _fuse(spark: SparkSession, sf: str, how) -> DataFrame:
     r = event_frames(spark, sf)
-    return rounded(fusion.fuse(r, event_weights(r), dyadic_transforms(spark), how, floor=4), 2)
+    return shares(fusion.fuse(r, event_weights(r), dyadic_transforms(spark), how, floor=4))
 
 
 @query(_fused("blend"))

@@ -1 +1 @@
-
+"""Folding frames as they arrive: an extension beyond batch fusion."""
