@@ -8,9 +8,11 @@ labels in some tree are candidates. ``depth`` starts at the whole string and is
 until classes of every similarity band in which candidates were found meet with probability ``recall``.
 
 In a trie's sorted order each class is compared, by a short sketch, with the next ``NEXT`` classes under the
-same prefix; those that are not clearly dissimilar are linked, and the links' components are the sets inside
-which every pair is verified exactly on the shingles. Sorted neighbours hold a prefix's similar classes
-together, so that a frequent prefix costs links in proportion to its classes, not to their pairs.
+same prefix, and with the prefix's leaders: classes of which no two have nearly the same sketch, the last
+``LEADERS`` of them. Classes that are not clearly dissimilar are linked, and the links' components are the sets
+inside which every pair is verified exactly on the shingles. So a class meets every class under its prefix, or
+one with nearly the same sketch, unless more than ``LEADERS`` classes of different sketches stand between
+them; such a prefix is one of ``TREES``, and it costs ``LEADERS`` comparisons a class, not all its pairs.
 
 How it scales: texts are shuffled once, for classes with candidates to meet their members' texts; sketches are
 56 bytes a class and tree. A component of many classes is verified in blocks of ``BLOCK`` classes, a task for
@@ -45,6 +47,10 @@ RECALL = 0.999
 NEXT = 4
 SKETCH = 64
 LEAST_SKETCH = 0.5
+LEADERS = 4_096
+#: A class this similar to a leader is none itself. With this slack, a link to a leader needs LEAST_LED.
+LEADER_RADIUS = 0.95
+LEAST_LED = 0.6
 BLOCK = 512
 BATCH_CHARS = 4 << 20
 RUN = 1 << 16
@@ -162,12 +168,65 @@ def spanning(links: list[tuple[int, int, int, float]]) -> list[tuple[int, int, i
     return out
 
 
+class Leaders:
+    """The classes under one prefix that stand for those of nearly the same sketch, the newest ``LEADERS``.
+
+    ``1 - similarity by sketch`` is a metric, so a class within 0.35 of another is within 0.4 of its leader.
+    """
+
+    def __init__(self) -> None:
+        self.mini = np.empty((LEADERS, SKETCH // 16), dtype=np.uint64)
+        self.string = np.empty(LEADERS, dtype=np.uint64)
+        self.cid = np.empty(LEADERS, dtype=object)
+        self.root = np.empty((LABELS + 1, LEADERS), dtype=np.int64)  # by depth, what links so far hold together
+        self.begin(None)
+
+    def begin(self, prefix: tuple | None) -> None:
+        self.prefix, self.n, self.made = prefix, 0, 0
+
+    def meet(self, mini: np.ndarray, string: np.uint64, cid: bytes) -> list[tuple[bytes, bytes, int, float]]:
+        """Links (cid, leader, shared, like) that add to what earlier ones hold together at some depth."""
+        apart = self.mini[: self.n] ^ mini
+        apart |= apart >> np.uint64(1)
+        apart |= apart >> np.uint64(2)
+        apart &= np.uint64(0x1111111111111111)
+        like = 1 - np.bitwise_count(apart).sum(axis=1) / (SKETCH * 15 / 16)
+        near = np.flatnonzero(like >= LEAST_LED)
+        own, links = {}, []
+        if len(near):
+            differ = self.string[near] ^ string
+            shared = sum((differ >> np.uint64(64 - 8 * d) == 0).astype(np.int64) for d in range(1, LABELS)) + (differ == 0)
+            order = np.lexsort((-like[near], -shared))
+            near, shared = near[order], shared[order]
+            chosen = set()
+            for depth in range(int(shared[0]), SHORTEST - 1, -1):
+                reached = near[: np.searchsorted(-shared, -depth, side="right")]
+                roots, first = np.unique(self.root[depth, reached], return_index=True)
+                chosen.update(first.tolist())
+                own[depth] = roots[0]
+                if len(roots) > 1:
+                    row = self.root[depth, : self.n]
+                    row[np.isin(row, roots)] = roots[0]
+            links = [(*sorted((cid, self.cid[near[k]])), int(shared[k]), float(like[near[k]])) for k in sorted(chosen)]
+        if not len(near) or like[near].max() < LEADER_RADIUS:
+            at = self.made % LEADERS
+            self.mini[at], self.string[at], self.cid[at] = mini, string, cid
+            for depth in range(SHORTEST, LABELS + 1):
+                self.root[depth, at] = own.get(depth, self.made)
+            self.made += 1
+            self.n = min(self.made, LEADERS)
+        return links
+
+
 def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between near places of sorted (tree, string) rows: a, b, shared labels, similarity by sketch."""
-    last = None
+    last, leaders = None, Leaders()
     for b in batches:
         if not len(b):
             continue
+        led = _led(b, leaders)
+        if led:
+            yield pd.DataFrame(led, columns=["a", "b", "shared", "like"])
         old = 0 if last is None else len(last)
         rows = b if last is None else pd.concat([last, b], ignore_index=True)
         tree, string = rows.tree.to_numpy(), rows.string.to_numpy().view(np.uint64)
@@ -194,6 +253,25 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = rows.iloc[-NEXT:].reset_index(drop=True)
 
 
+def _led(b: pd.DataFrame, leaders: Leaders) -> list[tuple[bytes, bytes, int, float]]:
+    """Links to leaders under prefixes of more classes than neighbours reach; the last prefix may go on in the next batch."""
+    tree, string, cid = b.tree.to_numpy(), b.string.to_numpy().view(np.uint64), b.cid.array
+    place = string >> np.uint64(64 - 8 * SHORTEST)
+    starts = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (place[1:] != place[:-1])])
+    ends = np.r_[starts[1:], len(b)]
+    links = []
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        prefix = (int(tree[start]), int(place[start]))
+        if prefix != leaders.prefix:
+            if end - start <= NEXT + 1 and end < len(b):
+                continue
+            leaders.begin(prefix)
+        minis = np.frombuffer(b"".join(b.mini.array[k] for k in range(start, end)), dtype=np.uint64).reshape(end - start, -1)
+        for k in range(start, end):
+            links += leaders.meet(minis[k - start], string[k], cid[k])
+    return links
+
+
 def chosen_depth(bands: list[tuple[int, float, int]], threshold: float, recall: float) -> int:
     """The longest prefix at which each band of similarity with candidates is met often enough.
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,37 @@ def test_components_of_a_long_chain(spark):
 def test_depth_shortens_for_weak_bands():
     assert ngram_join.chosen_depth([], 0.8, 0.999) == ngram_join.LABELS
     assert ngram_join.chosen_depth([(8, 0.99, 5)], 0.8, 0.999) > ngram_join.chosen_depth([(8, 0.8, 5)], 0.8, 0.999) == 4
+
+
+def test_join_links_under_a_crowded_prefix():
+    """Near sketches far apart under one prefix meet, across batches and at every depth that they share."""
+    rng = np.random.default_rng(8)
+    n, pairs = 3_000, {(10, 2_900), (700, 1_500), (1_501, 2_999)}
+    nibbles = rng.integers(0, 16, (n, ngram_join.SKETCH)).astype(np.uint8)
+    for i, j in pairs:
+        nibbles[j] = nibbles[i]
+        nibbles[j, :15] ^= 1
+    mini = nibbles[:, ::2] | (nibbles[:, 1::2] << 4)
+    string = (np.arange(n, dtype=np.int64) >> 8 << 16) | (7 << 40)
+    rows = pd.DataFrame({"cid": [k.to_bytes(16, "big") for k in range(n)], "tree": 3, "string": string, "mini": [m.tobytes() for m in mini]})
+    got = pd.concat(ngram_join.neighbours(iter([rows[:1_000], rows[1_000:1_001], rows[1_001:]])))
+    found = {(int.from_bytes(a, "big"), int.from_bytes(b, "big")): (s, round(x, 6)) for a, b, s, x in got.itertuples(index=False)}
+    assert found == {(i, j): (5 if i >> 8 != j >> 8 else 8, 0.75) for i, j in pairs}
+
+
+def test_join_of_a_shared_passage_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+
+    def some(k):
+        return [f"w{x}" for x in rng.integers(0, 10**9, k)]
+
+    common, texts = some(50), []
+    for i in range(900):
+        own = common + some(60)
+        texts.append(own)
+        if i % 10 == 0:
+            texts.append([f"x{w}" if k in (90, 102) else w for k, w in enumerate(own)])
+    rows = [(k, " ".join(texts[j])) for k, j in enumerate(rng.permutation(len(texts)))]
+    want = ngram_join._links(ngram_join.shingle_sets([t for _, t in rows]), ngram_join.THRESHOLD).sum(axis=1)
+    got = {r.doc_id: r.links for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()
