@@ -15,8 +15,9 @@ one with nearly the same sketch, unless more than ``LEADERS`` classes of differe
 them; such a prefix is one of ``TREES``, and it costs ``LEADERS`` comparisons a class, not all its pairs.
 
 How it scales: texts are shuffled once, for classes with candidates to meet their members' texts; sketches are
-56 bytes a class and tree. A component of many classes is verified in blocks of ``BLOCK`` classes, a task for
-each pair of blocks; only counts and spanning links leave a task, never pairs.
+56 bytes a class and tree. A component of many classes is verified in blocks of about ``BLOCK`` classes and
+``BLOCK_CHARS`` characters (or one class), a task for each pair of blocks; only counts and spanning
+links leave a task, never pairs.
 
 Defined results: a null text and a text without words have no shingles, are in a class of their own and have
 no links; a null id is kept, and is the class id only where all ids of the class are null; repeated rows are
@@ -52,6 +53,7 @@ LEADERS = 4_096
 LEADER_RADIUS = 0.95
 LEAST_LED = 0.6
 BLOCK = 512
+BLOCK_CHARS = 16 << 20
 BATCH_CHARS = 4 << 20
 RUN = 1 << 16
 WORD = re.compile(r"\w+")
@@ -143,10 +145,10 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mini = nibbles[:, ::2] | (nibbles[:, 1::2] << 4)
                 for i, s, m in zip(full, strings.tolist(), mini):
                     trees[i], minis[i] = s, m.tobytes()
-            yield rows.assign(cid=[xxhash.xxh128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], trees=trees, mini=minis)
+            yield rows.assign(cid=[xxhash.xxh128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], size=[len(t) if t else 0 for t in texts[part]], trees=trees, mini=minis)
 
 
-SKETCHED = "k long, t1 long, doc_id long, cid binary, n int, trees array<long>, mini binary"
+SKETCHED = "k long, t1 long, doc_id long, cid binary, n int, size long, trees array<long>, mini binary"
 
 
 def spanning(links: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
@@ -351,7 +353,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(texts.mapInPandas(sketch, SKETCHED), "join-rows")
     itself = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k", "t1")
     classes = cut(
-        rows.where("n > 0").groupBy("cid").agg(F.min(itself).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"), F.first("mini").alias("mini")),
+        rows.where("n > 0").groupBy("cid").agg(F.min(itself).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"), F.first("mini").alias("mini"), F.max("size").alias("size")),
         "join-classes",
     )
     entries = classes.select("cid", "mini", F.posexplode("trees").alias("tree", "string"))
@@ -363,11 +365,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = [tuple(r) for r in found.groupBy("shared", F.round("like", 2).alias("like")).count().collect()]
     depth = chosen_depth(bands, threshold, recall)
     groups = components(found.where(F.col("shared") >= depth).select("a", "b"))
-    members = groups.join(classes.select(F.col("cid").alias("node"), "rep", "copies"), "node").select(
-        F.col("node").alias("cid"), "root", "copies", F.col("rep.k").alias("k"), F.col("rep.t1").alias("t1")
+    members = groups.join(classes.select(F.col("cid").alias("node"), "rep", "copies", "size"), "node").select(
+        F.col("node").alias("cid"), "root", "copies", "size", F.col("rep.k").alias("k"), F.col("rep.t1").alias("t1")
     )
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_CHARS))
+    sizes = members.groupBy("root").agg(F.least(blocks, F.count(F.lit(1))).cast("int").alias("blocks"))
+    members = members.drop("size").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     placed = texts.select("k", "t1", "text").join(members, ["k", "t1"])
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))

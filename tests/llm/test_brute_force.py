@@ -253,6 +253,7 @@ def test_join_against_all_pairs(spark):
 
 def test_large_components_verified_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_CHARS", 2_000)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"q{i}"] + base[i + 1 :])) for i in range(40)]
     got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
