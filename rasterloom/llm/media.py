@@ -14,6 +14,7 @@ empty table gives no rows; further columns are kept by :func:`sniff` (``media``
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -72,16 +73,17 @@ def _bmp(b: bytes, at: int) -> int:
     return size if offset + rows == size and at + size <= len(b) else 0
 
 
+#: Magic, width, height, 255 and one white-space byte; whatever follows is samples. Longer numbers fit no value.
+PGM_HEAD = re.compile(rb"P5\s+0*([1-9]\d{0,17})\s+0*([1-9]\d{0,17})\s+255\s")
+
+
 def _pgm(b: bytes, at: int) -> int:
     """``P5 width height 255`` and as many samples."""
-    head = bytes(b[at + 2 : at + 40]).split(None, 3)
-    if len(head) < 4 or not all(h.isdigit() for h in head[:2]) or not head[2] == b"255":
+    head = PGM_HEAD.match(b, at)
+    if not head:
         return 0
-    p = at + 2
-    for h in head[:3]:
-        p = b.find(h, p) + len(h)
-    size = p + 1 + int(head[0]) * int(head[1]) - at
-    return size if b[p : p + 1].isspace() and int(head[0]) * int(head[1]) and at + size <= len(b) else 0
+    size = head.end() + int(head[1]) * int(head[2]) - at
+    return size if at + size <= len(b) else 0
 
 
 def _gif(b: bytes, at: int) -> int:

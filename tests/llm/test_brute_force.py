@@ -233,6 +233,21 @@ def test_media_validators():
     assert media.find_media(gif) == [("gif", 0, len(gif))]
 
 
+def test_media_of_blank_texts(spark):
+    """Samples that are all white space are samples, in each of the four formats."""
+    for kind, make in media.STORES:
+        for blank in (b" ", b"\n", b"\t", b"\r\n"):
+            payload = blank * 64
+            stored = make(payload)
+            assert media.find_media(b"note" + stored + b"end") == [(kind, 4, len(stored))]
+            assert media.samples(kind, stored) == payload
+    rows = [(i, lead * 64 + f"word{i}") for i, lead in enumerate([" ", "\n"] * 16)]
+    assert {zlib.crc32(t.encode()) & 3 for _, t in rows} == {0, 1, 2, 3}
+    got = media.read_back(media.sniff(media.store_texts(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    want = {i: hashlib.sha256(t.encode() + bytes(-len(t) % 64)).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.payload_sha256 for r in got} == want
+
+
 def test_join_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = []
