@@ -8,11 +8,11 @@ labels in some tree are candidates. ``depth`` starts at the whole string and is
 until classes of every similarity band in which candidates were found meet with probability ``recall``.
 
 In a trie's sorted order each class is compared, by a short sketch, with the next ``NEXT`` classes under the
-same prefix, and with the prefix's leaders: classes of which no two have nearly the same sketch, the last
-``LEADERS`` of them. Classes that are not clearly dissimilar are linked, and the links' components are the sets
-inside which every pair is verified exactly on the shingles. So a class meets every class under its prefix, or
-one with nearly the same sketch, unless more than ``LEADERS`` classes of different sketches stand between
-them; such a prefix is one of ``TREES``, and it costs ``LEADERS`` comparisons a class, not all its pairs.
+same prefix, and with the prefix's leaders: classes of which no two have nearly the same sketch. Classes that
+are not clearly dissimilar are linked, and the links' components are the sets inside which every pair is verified
+exactly on the shingles. So a class meets every class under its prefix, or one with nearly the same sketch. A
+prefix of more than ``LEADERS`` leaders is crowded: its classes are dealt into blocks of about ``LEADERS``, and
+each pair of blocks is a task that holds all its leaders. That is quadratic in the crowd, and spread.
 
 How it scales: texts are shuffled once, for classes with candidates to meet their members' texts; sketches are
 56 bytes a class and tree. A component of many classes is verified in blocks of about ``BLOCK`` classes and
@@ -49,6 +49,8 @@ NEXT = 4
 SKETCH = 64
 LEAST_SKETCH = 0.5
 LEADERS = 4_096
+CROWDED = -1
+LINKS = "a binary, b binary, shared int, like double"
 #: A class this similar to a leader is none itself. With this slack, a link to a leader needs LEAST_LED.
 LEADER_RADIUS = 0.95
 LEAST_LED = 0.6
@@ -171,20 +173,21 @@ def spanning(links: list[tuple[int, int, int, float]]) -> list[tuple[int, int, i
 
 
 class Leaders:
-    """The classes under one prefix that stand for those of nearly the same sketch, the newest ``LEADERS``.
+    """The classes under one prefix that stand for those of nearly the same sketch, ``room`` at most.
 
     ``1 - similarity by sketch`` is a metric, so a class within 0.35 of another is within 0.4 of its leader.
     """
 
-    def __init__(self) -> None:
-        self.mini = np.empty((LEADERS, SKETCH // 16), dtype=np.uint64)
-        self.string = np.empty(LEADERS, dtype=np.uint64)
-        self.cid = np.empty(LEADERS, dtype=object)
-        self.root = np.empty((LABELS + 1, LEADERS), dtype=np.int64)  # by depth, what links so far hold together
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.mini = np.empty((room, SKETCH // 16), dtype=np.uint64)
+        self.string = np.empty(room, dtype=np.uint64)
+        self.cid = np.empty(room, dtype=object)
+        self.root = np.empty((LABELS + 1, room), dtype=np.int64)  # by depth, what links so far hold together
         self.begin(None)
 
     def begin(self, prefix: tuple | None) -> None:
-        self.prefix, self.n, self.made = prefix, 0, 0
+        self.prefix, self.n, self.classes, self.crowded = prefix, 0, 0, False
 
     def meet(self, mini: np.ndarray, string: np.uint64, cid: bytes) -> list[tuple[bytes, bytes, int, float]]:
         """Links (cid, leader, shared, like) that add to what earlier ones hold together at some depth."""
@@ -211,18 +214,23 @@ class Leaders:
                     row[np.isin(row, roots)] = roots[0]
             links = [(*sorted((cid, self.cid[near[k]])), int(shared[k]), float(like[near[k]])) for k in sorted(chosen)]
         if not len(near) or like[near].max() < LEADER_RADIUS:
-            at = self.made % LEADERS
+            if self.n == self.room:  # all pairs of this prefix are compared in blocks instead
+                self.crowded = True
+                return links
+            at = self.n
             self.mini[at], self.string[at], self.cid[at] = mini, string, cid
             for depth in range(SHORTEST, LABELS + 1):
-                self.root[depth, at] = own.get(depth, self.made)
-            self.made += 1
-            self.n = min(self.made, LEADERS)
+                self.root[depth, at] = own.get(depth, at)
+            self.n += 1
         return links
 
 
 def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between near places of sorted (tree, string) rows: a, b, shared labels, similarity by sketch."""
-    last, leaders = None, Leaders()
+    """Links between near places of sorted (tree, string) rows: a, b, shared labels, similarity by sketch.
+
+    A crowded prefix is a row of its tree and string, ``CROWDED`` for the labels and the number of its classes.
+    """
+    last, leaders = None, Leaders(LEADERS)
     for b in batches:
         if not len(b):
             continue
@@ -253,6 +261,13 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs = [(*sorted((cid[i], cid[j])), int(s), float(l)) for i, j, s, l in spanning(found)]
             yield pd.DataFrame(pairs, columns=["a", "b", "shared", "like"])
         last = rows.iloc[-NEXT:].reset_index(drop=True)
+    if leaders.crowded:
+        yield pd.DataFrame([_crowd(leaders)], columns=["a", "b", "shared", "like"])
+
+
+def _crowd(leaders: Leaders) -> tuple[bytes, bytes, int, float]:
+    tree, place = leaders.prefix
+    return tree.to_bytes(8, "big"), place.to_bytes(8, "big"), CROWDED, float(leaders.classes)
 
 
 def _led(b: pd.DataFrame, leaders: Leaders) -> list[tuple[bytes, bytes, int, float]]:
@@ -267,13 +282,50 @@ def _led(b: pd.DataFrame, leaders: Leaders) -> list[tuple[bytes, bytes, int, flo
         if prefix != leaders.prefix:
             if end - start <= NEXT + 1 and end < len(b):
                 continue
+            if leaders.crowded:
+                links.append(_crowd(leaders))
             leaders.begin(prefix)
+        leaders.classes += end - start
+        if leaders.crowded:
+            continue
         minis = np.frombuffer(b"".join(b.mini.array[k] for k in range(start, end)), dtype=np.uint64).reshape(end - start, -1)
         for k in range(start, end):
             links += leaders.meet(minis[k - start], string[k], cid[k])
+            if leaders.crowded:
+                break
     return links
 
 
+def meet_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links among the classes of two blocks of a crowded prefix."""
+    rows = rows.sort_values("cid", ignore_index=True)
+    leaders, links = Leaders(len(rows)), []
+    minis = np.frombuffer(b"".join(rows.mini.array), dtype=np.uint64).reshape(len(rows), -1)
+    for mini, string, cid in zip(minis, rows.string.to_numpy().view(np.uint64), rows.cid.array):
+        links += leaders.meet(mini, string, cid)
+    return pd.DataFrame(links, columns=["a", "b", "shared", "like"])
+
+
+def crowd_links(entries: DataFrame, crowds: DataFrame, place: Column) -> DataFrame:
+    """Links under the crowded prefixes: every pair of a prefix's blocks is compared by a task of its own."""
+    number = F.conv(F.hex("a"), 16, 10).cast("int").alias("tree"), F.conv(F.hex("b"), 16, 10).cast("long").alias("place")
+    crowds = crowds.select(*number, F.ceil(F.col("like") / LEADERS).cast("int").alias("blocks"))
+    dealt = entries.withColumn("place", place).join(F.broadcast(crowds), ["tree", "place"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = dealt.select("tree", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "string", "mini")
+    return paired.groupBy("tree", "place", "i", "j").applyInPandas(meet_blocks, LINKS)
+
+
+def links_met(entries: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b, shared, like) among classes (cid, mini, tree, string) that meet under some prefix."""
+    place = F.shiftrightunsigned("string", 64 - 8 * SHORTEST)
+    ordered = entries.repartition(parts, "tree", place).sortWithinPartitions("tree", place, F.shiftrightunsigned("string", 1), "string", "cid")
+    met = cut(ordered.mapInPandas(neighbours, LINKS), "join-met")
+    found, crowds = met.where(F.col("shared") != CROWDED), met.where(F.col("shared") == CROWDED)
+    return found if crowds.isEmpty() else found.unionByName(crowd_links(entries, crowds, place))
+
+
 def chosen_depth(bands: list[tuple[int, float, int]], threshold: float, recall: float) -> int:
     """The longest prefix at which each band of similarity with candidates is met often enough.
 
@@ -358,9 +410,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     entries = classes.select("cid", "mini", F.posexplode("trees").alias("tree", "string"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.shiftrightunsigned("string", 64 - 8 * SHORTEST)
-    ordered = entries.repartition(parts, "tree", place).sortWithinPartitions("tree", place, F.shiftrightunsigned("string", 1), "string", "cid")
-    found = ordered.mapInPandas(neighbours, "a binary, b binary, shared int, like double")
+    found = links_met(entries, parts)
     found = cut(found.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("like").alias("like")), "join-candidates")
     bands = [tuple(r) for r in found.groupBy("shared", F.round("like", 2).alias("like")).count().collect()]
     depth = chosen_depth(bands, threshold, recall)

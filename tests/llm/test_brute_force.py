@@ -318,3 +318,21 @@ def test_join_of_a_shared_passage_against_all_pairs(spark):
     want = ngram_join._links(ngram_join.shingle_sets([t for _, t in rows]), ngram_join.THRESHOLD).sum(axis=1)
     got = {r.doc_id: r.links for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(rows))] == want.tolist()
+
+
+def test_join_links_under_a_prefix_of_more_leaders_than_a_task_holds(spark):
+    """More than 4,096 differing classes under one prefix in every tree: none is passed over, whatever stands between."""
+    rng = np.random.default_rng(9)
+    n, pairs = 9_000, {(10, 8_900), (700, 5_500), (3_001, 7_999), (8_000, 8_990)}
+    nibbles = rng.integers(0, 16, (n, ngram_join.SKETCH)).astype(np.uint8)
+    for i, j in pairs:
+        nibbles[j] = nibbles[i]
+        nibbles[j, :15] ^= 1
+    mini = nibbles[:, ::2] | (nibbles[:, 1::2] << 4)
+    trees = [0, 7, 15]
+    one = pd.DataFrame({"cid": [k.to_bytes(16, "big") for k in range(n)], "mini": [m.tobytes() for m in mini]})
+    rows = pd.concat([one.assign(tree=t, string=(np.arange(n, dtype=np.int64) >> 8 << 16) | (-(t + 1) << 40)) for t in trees], ignore_index=True)
+    entries = spark.createDataFrame(rows[["cid", "mini", "tree", "string"]], "cid binary, mini binary, tree int, string long")
+    got = ngram_join.links_met(entries, 4).collect()
+    assert {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in got} == pairs
+    assert {(r.shared, round(r.like, 6)) for r in got} <= {(5, 0.75), (8, 0.75)}
