@@ -11,11 +11,12 @@ that is a state.
 
 Beside it stands the word model that the contract fixes: smoothed counts of whole words.
 
-How it scales: one pass over the training texts counts strings of ``DEPTH + 1`` symbols and words, summed by
-the cluster (counts travel as blocks of bytes by bucket of keys, so that summing them is array work). A level of the tree holds at most ``STRINGS`` transitions of 16 bytes, the most frequent ones; what
-rarer ones would take is left to the parent. That bounds what is broadcast; the counts themselves cover every
-training text. Word counts are not bounded, so words seen more than once in ``WORDS`` are broadcast (at most ``WORDS``) and all
-others are joined by their hash.
+How it scales: one pass over the texts counts strings of ``DEPTH + 1`` symbols and words, summed by
+the cluster (counts travel as blocks of bytes by bucket of keys, so that summing them is array work); strings of texts
+that are not for training count 0. Level by level a table gives every string its probability: joins on the string
+without its oldest symbol and sums over a context's at most 256 strings, so the tree has no bound. The ``FREQUENT``
+most frequent strings' probabilities are broadcast (12 bytes each); all others are joined. Word counts likewise: words
+seen more than once in ``WORDS`` are broadcast (at most ``WORDS``) and all others are joined by their hash.
 
 Defined results: a null text is empty and has one token, the end; a null id counts as the empty string for the
 split; repeated rows are scored each and counted each; an empty table gives no rows; without training rows the
@@ -33,18 +34,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .shared import cut, discard
 
 DEPTH = 6
 END = 10
-STRINGS = 1 << 20
+#: Strings whose probabilities are broadcast; the others are joined.
+FREQUENT = 1 << 22
 LEAST_CONTEXT = 4
 GAIN = 0.5
 WORDS = 1 << 20
 BATCH_BYTES = 2 << 20
 HELD_STRINGS = 2 << 20
-#: Counts from here on are one bar of the histogram from which a level's least count is read.
+#: Counts from here on are one bar of the histogram from which the least count of the broadcast strings is read.
 BARS = 4_096
 #: Buckets of keys for each partition of the input.
 BUCKETS = 4
@@ -113,7 +116,10 @@ def _dealt(kind: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> pd.D
 
 
 def counter(buckets: int):
-    """Counts of strings (kind 0) and words (kind 1) of batches, in blocks that hold some megabytes of text."""
+    """Counts of strings (kind 0) and words (kind 1) of batches, in blocks that hold some megabytes of text.
+
+    Strings of held-out texts count 0, their words are not counted.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[np.ndarray] = []
@@ -125,14 +131,21 @@ def counter(buckets: int):
             return _dealt(1, np.array([END_KEY, *map(word_key, words)], dtype=np.int64), np.array([ends, *words.values()], dtype=np.int64), buckets)
 
         for b in batches:
+            at = 0
             for some in grouped(b.text.array):
-                new, n = np.unique(windows(some)[0], return_counts=True)
+                training = ~b.held_out.to_numpy(dtype=bool)[at : at + len(some)]
+                at += len(some)
+                windows_, begins = windows(some)
+                new, back = np.unique(windows_, return_inverse=True)
+                sizes = np.diff(np.append(begins, len(windows_)))
+                n = np.bincount(back[np.repeat(training, sizes)], minlength=len(new))
                 keys.append(new)
                 times.append(n)
                 held += len(new)
-                for w in some:
-                    words.update(w)
-                ends += len(some)
+                for w, counts in zip(some, training):
+                    if counts:
+                        words.update(w)
+                ends += int(training.sum())
                 if 2 * held > 3 * HELD_STRINGS:
                     k, n = _merged(keys, times)
                     keys, times, held = [k], [n], len(k)
@@ -210,61 +223,78 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[i] == keys, i
 
 
-def grow(strings: DataFrame, depth: int = DEPTH, strings_bound: int = STRINGS, least: int = LEAST_CONTEXT, gain: float = GAIN) -> Tree:
-    """The tree of ``strings`` (key, n): counts of strings of DEPTH + 1 symbols.
+def levels(strings: DataFrame, depth: int = DEPTH, least: int = LEAST_CONTEXT, gain: float = GAIN) -> list[DataFrame]:
+    """By depth d: key, n, p, state, left, own of every string of d + 1 symbols.
 
-    The counts of shorter strings are sums over longer ones with the same end. The driver gets at most
-    ``strings_bound`` transitions a level, the most frequent ones.
+    ``strings`` (key, n) are the counts of strings of DEPTH + 1 symbols; shorter strings' are sums over longer ones
+    with the same end. ``p`` is the newest symbol's probability in the longest suffix, up to d symbols, of the others
+    that is a state; ``state`` says whether all d others are one, ``left`` is what it leaves to its parent, ``own``
+    the share of the string itself.
     """
-    levels = [strings]
+    counts = [strings]
     for d in range(depth - 1, -1, -1):
         short = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        levels.append(cut(levels[-1].groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "lm-level"))
-    states, left, moves, chance = [], [], [], []
-    for d, seen in enumerate(reversed(levels)):
+        counts.append(cut(counts[-1].groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "lm-level"))
+    out: list[DataFrame] = []
+    context = Window.partitionBy("ctx")
+    for d, seen in enumerate(reversed(counts)):
         seen = seen.withColumn("ctx", F.shiftright("key", 8))
-        bars = sorted(seen.groupBy(F.least("n", F.lit(BARS)).alias("bar")).count().collect(), reverse=True)
-        over = np.cumsum([r[1] for r in bars]) > strings_bound
-        floor = 1 if not over.any() else int(bars[int(over.argmax())][0]) + 1
-        per = seen.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= F.lit(least))
-        kept = seen.where(F.col("n") >= F.lit(floor)).join(per, "ctx")
-        if floor > BARS:  # more than strings_bound transitions are that frequent
-            kept = kept.orderBy(F.desc("n"), "key").limit(strings_bound)
-        got = kept.select("key", "n", (F.col("total") + F.col("kinds")).alias("unit"), F.col("kinds").cast("int").alias("kinds")).toArrow()
-        key, n, unit, kinds = (got.column(c).to_numpy() for c in ("key", "n", "unit", "kinds"))
-        del got
-        order = np.argsort(turned(key, d + 1))
-        key, n, unit, kinds = key[order], n[order], unit[order], kinds[order]
-        heads, first, inv = np.unique(turned(key >> 8, d), return_index=True, return_inverse=True)
-        # What rare transitions would take goes to the parent with the rest.
-        share = 1 - np.bincount(inv, weights=n, minlength=len(heads)) / unit[first]
-        own = n / unit
-        if not d:
-            keep = np.ones(len(heads), dtype=bool)
+        if d:
+            above = out[-1].select(F.col("key").alias("suffix"), F.col("p").alias("below"), F.col("state").alias("closed"))
+            seen = seen.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(above, "suffix")
         else:
-            parent = Tree(states, left, moves, chance)
-            below = 10 ** parent.log10(key, d + 1)
-            won = np.bincount(inv, weights=n * np.log((own + share[inv] * below) / below), minlength=len(heads))
-            closed, _ = _find(states[-1], heads >> 8)
-            keep = (won > gain * kinds[first]) & closed
-            del below
-        yes = keep[inv] if len(heads) else np.zeros(0, dtype=bool)
-        states.append(heads[keep])
-        left.append(share[keep].astype(np.float32))
-        moves.append(turned(key[yes], d + 1))
-        chance.append(own[yes].astype(np.float32))
-        if not keep.any():
-            break
-    for level in levels[1:]:
+            seen = seen.withColumn("below", F.lit(1 / 256)).withColumn("closed", F.lit(True))
+        # At most 256 rows a context.
+        seen = seen.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.sum((F.col("n") > 0).cast("int")).over(context))
+        unit = F.col("total") + F.col("kinds")
+        seen = seen.withColumn("own", F.when(unit > 0, F.col("n") / unit).otherwise(0.0))
+        seen = seen.withColumn("left", F.when(unit > 0, F.col("kinds") / unit).otherwise(1.0))
+        mixed = F.col("own") + F.col("left") * F.col("below")
+        won = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(mixed / F.col("below"))).otherwise(0.0)).over(context)
+        enough = F.col("total") >= F.lit(least)
+        seen = seen.withColumn("state", F.col("closed") & enough & (won > F.lit(gain) * F.col("kinds")) if d else enough)
+        p = F.when(F.col("state"), mixed).otherwise(F.col("below"))
+        out.append(cut(seen.select("key", "n", p.alias("p"), "state", "left", "own"), "lm-tree"))
+    for level in counts[1:]:
         discard(level)
+    return out
+
+
+def grow(strings: DataFrame, depth: int = DEPTH, least: int = LEAST_CONTEXT, gain: float = GAIN) -> Tree:
+    """The whole tree of ``strings`` (key, n) on the driver, for small tables."""
+    states, left, moves, chance = [], [], [], []
+    for d, level in enumerate(levels(strings, depth, least, gain)):
+        rows = level.where("state").toPandas()
+        key = rows.key.to_numpy(dtype=np.int64)
+        heads, first = np.unique(turned(key >> 8, d), return_index=True)
+        states.append(heads)
+        left.append(rows["left"].to_numpy()[first])
+        order = np.argsort(turned(key, d + 1))
+        moves.append(turned(key, d + 1)[order])
+        chance.append(rows.own.to_numpy()[order])
     return Tree(states, left, moves, chance)
 
 
-def scorer(tree, frequent, train_tokens: int, kinds: int):
-    """Scores of batches; words outside ``frequent`` come back as hashes and how often they occur."""
+def most_frequent(level: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and log10 of the probabilities of at most ``bound`` strings, the most frequent ones."""
+    bars = sorted(level.groupBy(F.least("n", F.lit(BARS)).alias("bar")).count().collect(), reverse=True)
+    over = np.cumsum([r[1] for r in bars]) > bound
+    floor = 0 if not over.any() else int(bars[int(over.argmax())][0]) + 1
+    kept = level.where(F.col("n") >= F.lit(floor))
+    if floor > BARS:  # more than that many strings are that frequent
+        kept = level.orderBy(F.desc("n"), "key").limit(bound)
+    got = kept.select("key", F.log10("p").cast("float").alias("log")).toArrow()
+    key, log = got.column("key").to_numpy(), got.column("log").to_numpy()
+    order = np.argsort(key)
+    return key[order], log[order]
+
+
+def scorer(likely, frequent, train_tokens: int, kinds: int):
+    """Scores of batches; strings outside ``likely`` and words outside ``frequent`` come back as numbers and how often they occur."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = frequent.value
+        strings, chances = likely.value
         known = dict(zip(keys.tolist(), counts.tolist()))
         memo: dict[bytes, tuple[int, int]] = {}
         unit = train_tokens + 0.1 * (kinds + 1)
@@ -275,10 +305,14 @@ def scorer(tree, frequent, train_tokens: int, kinds: int):
                 rows = b.iloc[at : at + len(some)]
                 at += len(some)
                 keys_, begins = windows(some)
-                u, back = _unique(keys_)
-                logs = np.add.reduceat(tree.value.log10(u)[back], begins)
+                u, back = np.unique(keys_, return_inverse=True)
+                hit, i = _find(strings, u)
+                log = np.zeros(len(u))
+                log[hit] = chances[i[hit]]
+                logs = np.add.reduceat(log[back], begins)
+                gaps = _gaps(keys_, ~hit[back], begins)
                 out = []
-                for words, log in zip(some, logs):
+                for words, log, (gap, gap_times) in zip(some, logs, gaps):
                     base, hits = np.log10((end + 0.1) / unit), int(end > 0)
                     rare: list[int] = []
                     times: list[int] = []
@@ -293,18 +327,19 @@ def scorer(tree, frequent, train_tokens: int, kinds: int):
                         else:
                             rare.append(m[0])
                             times.append(n)
-                    out.append((len(words) + 1, hits, base, float(log), rare, times))
+                    out.append((len(words) + 1, hits, base, float(log), rare, times, gap, gap_times))
                     if len(memo) > 150_000:
                         memo.clear()
-                got = pd.DataFrame(out, columns=["n_tokens", "hits", "base", "score", "rare", "times"])
+                got = pd.DataFrame(out, columns=["n_tokens", "hits", "base", "score", "rare", "times", "gaps", "gap_times"])
                 yield pd.concat([rows[["doc_id", "held_out"]].reset_index(drop=True), got], axis=1)
 
     return score
 
 
-def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, u = pd.factorize(keys)
-    return u, codes
+def _gaps(keys: np.ndarray, missing: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the different strings that are missing, and how often each occurs."""
+    ends = np.append(begins[1:], len(keys))
+    return [np.unique(keys[i:j][missing[i:j]], return_counts=True) for i, j in zip(begins, ends)]
 
 
 def tenth(id_col: str = "doc_id") -> Column:
@@ -316,18 +351,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = chosen.withColumn("held_out", held_out if held_out is not None else tenth() == 0)
-    training = chosen.where(~F.col("held_out")).select("text")
-    blocks = training.mapInPandas(counter(BUCKETS * training.rdd.getNumPartitions()), "bucket int, kind int, keys binary, times binary")
+    read = chosen.select("text", "held_out")
+    blocks = read.mapInPandas(counter(BUCKETS * read.rdd.getNumPartitions()), "bucket int, kind int, keys binary, times binary")
     counted = cut(blocks.groupBy("bucket").applyInPandas(total, "kind int, key long, n long"), "lm-counts")
-    tree = grow(counted.where("kind = 0").select("key", "n"))
+    strings = levels(counted.where("kind = 0").select("key", "n"))
+    for level in strings[:-1]:
+        discard(level)
+    tree = strings[-1]
     words = counted.where("kind = 1").select("key", "n")
     all_, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = words.where(F.col("n") * F.lit(WORDS) >= F.lit(all_)).toPandas()  # at most WORDS rows
-    model = spark.sparkContext.broadcast(tree)
+    model = spark.sparkContext.broadcast(most_frequent(tree, FREQUENT))
     frequent = spark.sparkContext.broadcast((often.key.to_numpy(), often.n.to_numpy()))
     scored = chosen.mapInPandas(
         scorer(model, frequent, all_, kinds),
-        "doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, times array<long>",
+        "doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, times array<long>, gaps array<long>, gap_times array<long>",
     )
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     one = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
@@ -337,7 +375,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / unit)).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_hits"),
     )
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
+    gap = scored.select("row", F.explode(F.arrays_zip("gaps", "gap_times")).alias("x")).select("row", F.col("x.gaps").alias("key"), F.col("x.gap_times").alias("times"))
+    filled = gap.join(tree.select("key", "p"), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("more_score"))
+    return scored.drop("rare", "times", "gaps", "gap_times").join(rest, "row", "left").join(filled, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"), F.lit(all_).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

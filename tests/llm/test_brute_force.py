@@ -192,6 +192,52 @@ def test_tree_is_a_distribution(spark):
     assert len(tree.states) > 3 and all(len(level) for level in tree.states[:3])
 
 
+def test_every_string_of_the_tree_is_scored(spark, docs, texts, monkeypatch):
+    """However few strings are broadcast, scores are those of the whole tree."""
+    few = 256
+    monkeypatch.setattr(suffix_tree.grow, "__defaults__", tuple(few if x == 1 << 20 else x for x in suffix_tree.grow.__defaults__))
+    monkeypatch.setattr(suffix_tree, "FREQUENT", few, raising=False)
+    rows = {d: suffix_tree.tokens(t) for d, t in texts.items()}
+    training = [w for d, w in rows.items() if zlib.crc32(str(d).encode()) % 10]
+    keys, n = np.unique(suffix_tree.windows(training)[0], return_counts=True)
+    counts, total = [dict(zip(keys.tolist(), n.tolist()))], {}
+    for d in range(suffix_tree.DEPTH, 0, -1):
+        short = Counter()
+        for key, times in counts[0].items():
+            short[key & ((1 << 8 * d) - 1)] += times
+        counts.insert(0, short)
+    chance, left, states = [], [], []
+    for d, level in enumerate(counts):
+        own = {}
+        for key, times in level.items():
+            own.setdefault(key >> 8, {})[key] = times
+        states.append({})
+        chance.append({})
+        for ctx, some in own.items():
+            below = {k: chance[d - 1][k & ((1 << 8 * d) - 1)] if d else 1 / 256 for k in some}
+            whole = sum(some.values()) + len(some)
+            p = {k: times / whole + len(some) / whole * below[k] for k, times in some.items()}
+            won = sum(times * math.log(p[k] / below[k]) for k, times in some.items())
+            closed = not d or (ctx & ((1 << 8 * (d - 1)) - 1)) in states[d - 1]
+            state = whole - len(some) >= suffix_tree.LEAST_CONTEXT and closed and (not d or won > suffix_tree.GAIN * len(some))
+            if state:
+                states[d][ctx] = len(some) / whole
+            chance[d].update(p if state else below)
+
+    def log10(key):
+        factor = 1.0
+        for d in range(suffix_tree.DEPTH, -1, -1):
+            suffix = key & ((1 << 8 * (d + 1)) - 1)
+            if suffix in chance[d]:
+                return math.log10(factor * chance[d][suffix])
+            factor *= states[d].get(suffix >> 8, 1.0)
+        return math.log10(factor / 256)
+
+    for r in suffix_tree.score_documents(docs).collect():
+        want = sum(log10(k) for k in suffix_tree.windows([rows[r.doc_id]])[0].tolist())
+        assert abs(r.score - want) < 1e-4 * abs(want)
+
+
 def test_token_attribution(docs, texts):
     encoder = tokens.Encoder()
     got = {}
