@@ -5,13 +5,14 @@ task's unit jobs: block ``k`` is released at slot ``floor(k / w)`` and due at sl
 each slot the released block with the earliest deadline runs. On one stream this meets every deadline, so
 after any number of slots each source is less than one block away from its target.
 
-Weights are whole numbers ``a`` over their sum ``A``, so the schedule repeats after ``A`` slots. The driver
-schedules one period; a row finds its slot by arithmetic from its rank in its source. When a source ends, the
-others go on under weights scaled up to 1, and the targets count from that slot; such stretches are phases,
-at most one a source. No row is dropped or repeated.
+Weights are whole numbers ``a`` over their sum ``A``, in the exact proportion of the weights given, so nothing
+drifts however long the table is. The driver schedules every slot; a row finds its slot from its rank in its
+source. When a source ends, the others go on under weights scaled up to 1, and the targets count from that slot;
+such stretches are phases, at most one a source. No row is dropped or repeated.
 
-How it scales: the rank of a row in its source comes from salted parts (a hot source is never in one task),
-and the schedule's size depends on the sources and ``resolution`` alone: at most sources x resolution numbers.
+How it scales: the rank of a row in its source comes from salted parts (a hot source is never in one task). The
+schedule is 4 bytes a block of rows on the driver, in pieces of ``PIECE`` blocks that are broadcast, or joined
+when there are more than ``BROADCAST_NUMBERS`` blocks.
 
 Defined results: a null source is a source of its own; a null id is kept; repeated rows take neighbouring
 places; an empty table gives no rows; texts are not looked at; further columns are carried along by
@@ -21,9 +22,13 @@ places; an empty table gives no rows; texts are not looked at; further columns a
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
-from math import gcd
+from array import array
+from decimal import Decimal
+from fractions import Fraction
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,26 +39,39 @@ RESOLUTION = 4_096
 ALPHA = 0.5
 PARTS = 1_024
 BROADCAST_NUMBERS = 4_000_000
+#: Blocks of a source in a row of the schedule.
+PIECE = 1_024
+#: Products with a number of blocks fit 38 digits.
+LARGEST = 10**26
 
 
 def whole_weights(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Weights as whole numbers that sum to about ``resolution``, at least 1 each."""
-    total = sum(weights.values())
+    """Weights as whole numbers in the proportion of the weights as written; of a sum above ``LARGEST`` to 1 / LARGEST.
+
+    ``resolution`` is not used: shares rounded to it drift from the weights.
+    """
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    whole = {s: max(1, round(w / total * resolution)) for s, w in weights.items()}
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    total = sum(exact.values())
+    common = lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * common) for s, x in exact.items()}
     common = gcd(*whole.values()) if whole else 1
-    return {s: a // common for s, a in whole.items()}
+    whole = {s: a // common for s, a in whole.items()}
+    if sum(whole.values()) > LARGEST:
+        whole = {s: max(1, round(x / total * LARGEST)) for s, x in exact.items()}
+    return whole
 
 
-def period(parts: dict[str, int], slots: int) -> dict[str, list[int]]:
-    """Earliest deadline first over the first ``slots`` slots: each source's slots, in order."""
+def stretch(parts: dict[str, int], left: dict[str, int]) -> tuple[dict[str, array], str]:
+    """Earliest deadline first until a source's blocks end: each source's slots, in order, and that source."""
     whole = sum(parts.values())
-    taken: dict[str, list[int]] = {s: [] for s in parts}
+    taken = {s: array("i") for s in parts}
     waiting = [(0, s) for s in parts]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str]] = []
-    for t in range(slots):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
             due = -(-(len(taken[s]) + 1) * whole // parts[s])
@@ -62,12 +80,14 @@ def period(parts: dict[str, int], slots: int) -> dict[str, list[int]]:
         if due <= t:
             raise AssertionError("a deadline was missed")
         taken[s].append(t)
+        if len(taken[s]) == left[s]:
+            return taken, s
         heapq.heappush(waiting, (len(taken[s]) * whole // parts[s], s))
-    return taken
+        t += 1
 
 
 def phases(rows: dict[str, int], parts: dict[str, int], block_rows: int) -> list[tuple]:
-    """(source, phase, first block, first slot, first position, a, A, slots in a period) of all stretches."""
+    """(source, phase, first block, first slot, first position, a, A, its slots) of all stretches."""
     left = {s: -(-n // block_rows) for s, n in rows.items() if n > 0}
     done = dict.fromkeys(left, 0)
     slot = place = phase = 0
@@ -76,17 +96,13 @@ def phases(rows: dict[str, int], parts: dict[str, int], block_rows: int) -> list
         live = {s: parts[s] for s in left}
         common = gcd(*live.values())
         live = {s: a // common for s, a in live.items()}
-        whole = sum(live.values())
-        own = period(live, whole)
-        last = {s: (n - 1) // live[s] * whole + own[s][(n - 1) % live[s]] for s, n in left.items()}
-        end, over = min((at, s) for s, at in last.items())
-        for s in left:
-            out.append((s, phase, done[s], slot, place, live[s], whole, own[s]))
-        turns, rest = divmod(end + 1, whole)
+        own, over = stretch(live, left)
+        end = own[over][-1]
         for s in list(left):
-            ran = turns * live[s] + bisect_right(own[s], rest - 1)
-            left[s] -= ran
-            done[s] += ran
+            if own[s]:
+                out.append((s, phase, done[s], slot, place, live[s], sum(live.values()), own[s]))
+            left[s] -= len(own[s])
+            done[s] += len(own[s])
         assert left.pop(over) == 0
         slot += end + 1
         place += (end + 1) * block_rows - (-rows[over] % block_rows)
@@ -110,16 +126,24 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
             raise ValueError(f"no weight for {sorted(missing)[:5]}")
     parts = whole_weights({s: given[s] if weights is not None else n**alpha for s, n in rows.items()}, resolution)
     plan: dict[str, list[tuple]] = {s: [] for s in rows}
+    names, pieces, slots, ends = [], [], [], [0]
     numbers = 0
     for s, phase, block, slot, place, a, whole, own in phases(rows, parts, block_rows):
-        plan[s].append((phase, block, slot, place, a, whole, own))
+        plan[s].append((phase, block, slot, place, Decimal(a), Decimal(whole), a / whole))
+        for piece in range(-(-len(own) // PIECE)):
+            names.append(f"{phase} {s}")
+            pieces.append(piece)
+            slots.append(np.asarray(own[piece * PIECE : (piece + 1) * PIECE], dtype=np.int32))
+            ends.append(ends[-1] + len(slots[-1]))
         numbers += len(own)
-    plans = spark.createDataFrame(
+    plans = F.broadcast(spark.createDataFrame(
         list(plan.items()),
-        "_key string, _plan array<struct<phase:int,block:long,slot:long,place:long,a:long,whole:long,own:array<int>>>",
-    )
+        "_key string, _plan array<struct<phase:int,block:long,slot:long,place:long,a:decimal(28,0),whole:decimal(28,0),weight:double>>",
+    ))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(slots) if slots else [], pa.int32()))
+    schedule = spark.createDataFrame(pa.table({"_stretch": pa.array(names, pa.string()), "_piece": pa.array(pieces, pa.int64()), "_own": lists}))
     if numbers <= BROADCAST_NUMBERS:  # 4 bytes each
-        plans = F.broadcast(plans)
+        schedule = F.broadcast(schedule)
     hashed = keyed.withColumn("_hash", F.xxhash64(F.lit(3), F.col(id_col)))
     salt = F.shiftrightunsigned("_hash", 64 - (PARTS.bit_length() - 1))
     ranked = salted_rank(hashed, ["_key"], salt, [F.col("_hash"), F.col(id_col)], "_rank", PARTS)
@@ -128,16 +152,19 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         .withColumn("_block", F.floor(F.col("_rank") / block_rows))
         .withColumn("_p", F.expr("element_at(filter(_plan, x -> x.block <= _block), -1)"))
         .withColumn("_k", F.col("_block") - F.col("_p.block"))
+        .withColumn("_stretch", F.concat(F.col("_p.phase").cast("string"), F.lit(" "), F.col("_key")))
+        .withColumn("_piece", F.expr(f"_k div {PIECE}"))
+        .join(schedule, ["_stretch", "_piece"])
     )
-    local = F.expr("_k div _p.a * _p.whole + element_at(_p.own, cast(_k % _p.a as int) + 1)")
+    local = F.expr(f"element_at(_own, cast(_k % {PIECE} as int) + 1)")
     return (
         at.withColumn("_phase", F.col("_p.phase"))
         .withColumn("_slot", F.col("_p.slot") + local)
-        .withColumn("_release", F.col("_p.slot") + F.expr("_k * _p.whole div _p.a"))
-        .withColumn("_deadline", F.col("_p.slot") + F.expr("((_k + 1) * _p.whole + _p.a - 1) div _p.a"))
-        .withColumn("_weight", F.col("_p.a") / F.col("_p.whole"))
+        .withColumn("_release", F.col("_p.slot") + F.expr("cast(_k as decimal(10,0)) * _p.whole div _p.a"))
+        .withColumn("_deadline", F.col("_p.slot") + F.expr("(cast(_k + 1 as decimal(10,0)) * _p.whole + _p.a - 1) div _p.a"))
+        .withColumn("_weight", F.col("_p.weight"))
         .withColumn("_position", F.col("_p.place") + (F.col("_slot") - F.col("_p.slot")) * block_rows + F.col("_rank") % block_rows)
-        .drop("_key", "_hash", "_rank", "_plan", "_p", "_k")
+        .drop("_key", "_hash", "_rank", "_plan", "_p", "_k", "_stretch", "_piece", "_own")
     )
 
 

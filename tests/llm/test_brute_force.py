@@ -62,6 +62,18 @@ def test_mix_against_a_sequential_schedule(docs):
     assert [r.source for r in sorted(got, key=lambda r: r._position)] == order
 
 
+def test_mix_does_not_drift_from_the_weights_given(spark):
+    """Over 120,000 rows each source stays less than one block from its given share, a tiny one too."""
+    weights = {"a": 0.5, "b": 0.29995, "c": 0.2, "d": 0.00005}
+    df = spark.range(120_000).selectExpr("id as doc_id", "case when id < 60000 then 'a' when id < 95990 then 'b' when id < 119990 then 'c' else 'd' end as source")
+    got = mixing.mix(df, weights, block_rows=1).where("_phase = 0").select("_slot", "source", "_weight").toPandas().sort_values("_slot")
+    assert len(got) > 100_000 and got._slot.tolist() == list(range(len(got)))
+    for s, w in weights.items():
+        ran = (got.source == s).cumsum().to_numpy()
+        assert np.abs(ran - w * np.arange(1, len(got) + 1)).max() < 1 + 1e-6
+        assert np.allclose(got._weight[got.source == s], w, rtol=1e-12)
+
+
 def test_nearest_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = vectors.collect()
