@@ -360,7 +360,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tree = strings[-1]
     words = counted.where("kind = 1").select("key", "n")
     all_, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = words.where(F.col("n") * F.lit(WORDS) >= F.lit(all_)).toPandas()  # at most WORDS rows
+    # At most WORDS rows and the end token, which is in no join.
+    often = words.where((F.col("n") * F.lit(WORDS) >= F.lit(all_)) | (F.col("key") == F.lit(END_KEY))).toPandas()
     model = spark.sparkContext.broadcast(most_frequent(tree, FREQUENT))
     frequent = spark.sparkContext.broadcast((often.key.to_numpy(), often.n.to_numpy()))
     scored = chosen.mapInPandas(

@@ -250,6 +250,14 @@ def test_every_string_of_the_tree_is_scored(spark, docs, texts, monkeypatch):
         assert abs(r.score - want) < 1e-4 * abs(want)
 
 
+def test_end_token_is_known_however_rare(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "WORDS", 4)
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h")], "doc_id long, text string")
+    for r in suffix_tree.score_documents(df, held_out=F.lit(False)).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (9, 9, 18)
+        assert abs(r.base_score - 9 * math.log10(2.1 / (18 + 0.1 * 10))) < 1e-6
+
+
 def test_token_attribution(docs, texts):
     encoder = tokens.Encoder()
     got = {}
