@@ -13,10 +13,12 @@ Beside it stands the word model that the contract fixes: smoothed counts of whol
 
 How it scales: one pass over the texts counts strings of ``DEPTH + 1`` symbols and words, summed by
 the cluster (counts travel as blocks of bytes by bucket of keys, so that summing them is array work); strings of texts
-that are not for training count 0. Level by level a table gives every string its probability: joins on the string
-without its oldest symbol and sums over a context's at most 256 strings, so the tree has no bound. The ``FREQUENT``
-most frequent strings' probabilities are broadcast (12 bytes each); all others are joined. Word counts likewise: words
-seen more than once in ``WORDS`` are broadcast (at most ``WORDS``) and all others are joined by their hash.
+that are not for training count 0. The tree is cut into branches, the strings whose context ends alike: two last
+symbols, or more where such a branch has more than ``BRANCH`` strings. What lies above the branches is a table of at
+most 256 rows a context above one; each branch is a task of its own with arrays of bounded size, and gives every string
+its probability. So no string is left out, however rare. The ``FREQUENT`` most frequent strings' probabilities are
+broadcast (12 bytes each); all others are joined. Word counts likewise: words seen more than once in ``WORDS`` are
+broadcast (at most ``WORDS``) and all others are joined by their hash.
 
 Defined results: a null text is empty and has one token, the end; a null id counts as the empty string for the
 split; repeated rows are scored each and counted each; an empty table gives no rows; without training rows the
@@ -34,14 +36,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .shared import cut, discard
+from .shared import cut
 
 DEPTH = 6
 END = 10
 #: Strings whose probabilities are broadcast; the others are joined.
 FREQUENT = 1 << 22
+#: Strings that a branch of the tree holds before it is cut further, and the fewest for which it is.
+BRANCH, LEAST_BRANCH = 1 << 19, 1 << 14
 LEAST_CONTEXT = 4
 GAIN = 0.5
 WORDS = 1 << 20
@@ -223,56 +226,127 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[i] == keys, i
 
 
-def levels(strings: DataFrame, depth: int = DEPTH, least: int = LEAST_CONTEXT, gain: float = GAIN) -> list[DataFrame]:
-    """By depth d: key, n, p, state, left, own of every string of d + 1 symbols.
+@dataclass
+class Level:
+    """Strings of d + 1 symbols in rising order, how often each was seen, and what the tree has of it.
 
-    ``strings`` (key, n) are the counts of strings of DEPTH + 1 symbols; shorter strings' are sums over longer ones
-    with the same end. ``p`` is the newest symbol's probability in the longest suffix, up to d symbols, of the others
-    that is a state; ``state`` says whether all d others are one, ``left`` is what it leaves to its parent, ``own``
-    the share of the string itself.
+    ``p`` is the newest symbol's probability in the longest suffix, up to d symbols, of the others that is a state;
+    ``state`` says whether all d others are one, ``left`` is what it leaves to its parent, ``own`` the string's share.
     """
-    counts = [strings]
-    for d in range(depth - 1, -1, -1):
-        short = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        counts.append(cut(counts[-1].groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "lm-level"))
-    out: list[DataFrame] = []
-    context = Window.partitionBy("ctx")
-    for d, seen in enumerate(reversed(counts)):
-        seen = seen.withColumn("ctx", F.shiftright("key", 8))
+
+    key: np.ndarray
+    n: np.ndarray
+    p: np.ndarray
+    state: np.ndarray
+    left: np.ndarray
+    own: np.ndarray
+
+    def at(self, rows: np.ndarray) -> Level:
+        return Level(*(x[rows] for x in (self.key, self.n, self.p, self.state, self.left, self.own)))
+
+
+def _low(keys: np.ndarray, symbols: int) -> np.ndarray:
+    """The newest symbols of strings."""
+    return keys & np.int64((1 << 8 * symbols) - 1)
+
+
+def levels(keys: np.ndarray, n: np.ndarray, crown: list[Level], symbols: int = DEPTH + 1, least: int = LEAST_CONTEXT, gain: float = GAIN) -> list[Level]:
+    """The tree's levels over the counts of different strings of so many symbols.
+
+    ``crown``: levels as computed over all strings; contexts that it has count as it has them, since ``keys`` may hold
+    only some of their strings. All others must be whole here.
+    """
+    order = np.argsort(keys)
+    strings, counts, up = [keys[order]], [n[order].astype(np.float64)], []
+    for d in range(symbols - 1, 0, -1):
+        short, back = np.unique(_low(strings[0], d), return_inverse=True)
+        counts.insert(0, np.bincount(back, weights=counts[0], minlength=len(short)))
+        strings.insert(0, short)
+        up.insert(0, back)
+    out: list[Level] = []
+    for d, (key, seen) in enumerate(zip(strings, counts)):
+        below = out[-1].p[up[d - 1]] if d else np.full(len(key), 1 / 256)
+        closed = out[-1].state[up[d - 1]] if d else np.ones(len(key), dtype=bool)
+        first = np.flatnonzero(np.r_[True, key[1:] >> 8 != key[:-1] >> 8]) if len(key) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(key)))
+        total, kinds = (np.repeat(np.add.reduceat(x, first), size) if len(key) else x for x in (seen, (seen > 0).astype(np.float64)))
+        unit = np.maximum(total + kinds, 1)
+        own, left = seen / unit, np.where(total > 0, kinds / unit, 1.0)
+        mixed = own + left * below
+        won = seen * np.log(mixed / below)
+        won = np.repeat(np.add.reduceat(won, first), size) if len(key) else won
+        state = total >= least
         if d:
-            above = out[-1].select(F.col("key").alias("suffix"), F.col("p").alias("below"), F.col("state").alias("closed"))
-            seen = seen.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(above, "suffix")
-        else:
-            seen = seen.withColumn("below", F.lit(1 / 256)).withColumn("closed", F.lit(True))
-        # At most 256 rows a context.
-        seen = seen.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.sum((F.col("n") > 0).cast("int")).over(context))
-        unit = F.col("total") + F.col("kinds")
-        seen = seen.withColumn("own", F.when(unit > 0, F.col("n") / unit).otherwise(0.0))
-        seen = seen.withColumn("left", F.when(unit > 0, F.col("kinds") / unit).otherwise(1.0))
-        mixed = F.col("own") + F.col("left") * F.col("below")
-        won = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(mixed / F.col("below"))).otherwise(0.0)).over(context)
-        enough = F.col("total") >= F.lit(least)
-        seen = seen.withColumn("state", F.col("closed") & enough & (won > F.lit(gain) * F.col("kinds")) if d else enough)
-        p = F.when(F.col("state"), mixed).otherwise(F.col("below"))
-        out.append(cut(seen.select("key", "n", p.alias("p"), "state", "left", "own"), "lm-tree"))
-    for level in counts[1:]:
-        discard(level)
+            state &= closed & (won > gain * kinds)
+        level = Level(key, seen, np.where(state, mixed, below), state, left, own)
+        if d < len(crown):
+            hit, i = _find(crown[d].key, key)
+            for x, y in ((level.p, crown[d].p), (level.state, crown[d].state), (level.left, crown[d].left), (level.own, crown[d].own)):
+                x[hit] = y[i[hit]]
+        out.append(level)
     return out
 
 
+def _ending(column: Column, symbols: int) -> Column:
+    return column.bitwiseAND(F.lit((1 << 8 * symbols) - 1))
+
+
+def crowned(strings: DataFrame, branch: int, least: int, gain: float) -> tuple[list[Level], list[list[int]]]:
+    """The levels above the branches, and by depth from 2 the contexts of more than ``branch`` strings.
+
+    Each round sees at most 256 rows for each context of more than ``branch`` strings.
+    """
+    context = F.shiftright("key", 8)
+    two = strings.groupBy(_ending(F.col("key"), 2).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    crown = levels(two.key.to_numpy(dtype=np.int64), two.n.to_numpy(), [], 2, least, gain)
+    large: list[list[int]] = []
+    some = strings
+    for d in range(2, DEPTH):
+        many = some.groupBy(_ending(context, d).alias("ctx")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > branch)
+        large.append(sorted(r[0] for r in many.collect()))
+        if not large[-1]:
+            break
+        some = some.where(_ending(context, d).isin(large[-1]))
+        rows = some.groupBy(_ending(F.col("key"), d + 1).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+        crown.append(levels(rows.key.to_numpy(dtype=np.int64), rows.n.to_numpy(), crown, d + 1, least, gain)[d])
+    return crown, large
+
+
+def likelihoods(strings: DataFrame, least: int = LEAST_CONTEXT, gain: float = GAIN, branch: int = BRANCH) -> DataFrame:
+    """key, n, p of every string of DEPTH + 1 symbols in ``strings`` (key, n)."""
+    spark = strings.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(min(branch, LEAST_BRANCH), min(branch, strings.count() // parts))
+    crown, large = crowned(strings, size, least, gain)
+    shared = spark.sparkContext.broadcast(crown)
+    context = F.shiftright("key", 8)
+    branch_of = F.struct(F.lit(2).alias("d"), _ending(context, 2).alias("ctx"))
+    for d, some in enumerate(large, 2):
+        if some:
+            branch_of = F.when(_ending(context, d).isin(some), F.struct(F.lit(d + 1).alias("d"), _ending(context, d + 1).alias("ctx"))).otherwise(branch_of)
+    bins = 4 * parts
+
+    def grown(rows: pd.DataFrame) -> pd.DataFrame:
+        last = levels(rows.key.to_numpy(), rows.n.to_numpy(), shared.value, DEPTH + 1, least, gain)[-1]
+        return pd.DataFrame({"key": last.key, "n": last.n.astype(np.int64), "p": last.p})
+
+    dealt = strings.withColumn("bin", F.pmod(F.xxhash64(branch_of), F.lit(bins)))
+    return dealt.groupBy("bin").applyInPandas(grown, "key long, n long, p double")
+
+
 def grow(strings: DataFrame, depth: int = DEPTH, least: int = LEAST_CONTEXT, gain: float = GAIN) -> Tree:
     """The whole tree of ``strings`` (key, n) on the driver, for small tables."""
-    states, left, moves, chance = [], [], [], []
-    for d, level in enumerate(levels(strings, depth, least, gain)):
-        rows = level.where("state").toPandas()
-        key = rows.key.to_numpy(dtype=np.int64)
-        heads, first = np.unique(turned(key >> 8, d), return_index=True)
-        states.append(heads)
-        left.append(rows["left"].to_numpy()[first])
-        order = np.argsort(turned(key, d + 1))
-        moves.append(turned(key, d + 1)[order])
-        chance.append(rows.own.to_numpy()[order])
-    return Tree(states, left, moves, chance)
+    rows = strings.toPandas()
+    tree = Tree([], [], [], [])
+    for d, level in enumerate(levels(rows.key.to_numpy(dtype=np.int64), rows.n.to_numpy(), [], depth + 1, least, gain)):
+        kept = level.at(np.flatnonzero(level.state))
+        heads, first = np.unique(turned(kept.key >> 8, d), return_index=True)
+        tree.states.append(heads)
+        tree.left.append(kept.left[first])
+        order = np.argsort(turned(kept.key, d + 1))
+        tree.moves.append(turned(kept.key, d + 1)[order])
+        tree.chance.append(kept.own[order])
+    return tree
 
 
 def most_frequent(level: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,10 +428,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = chosen.select("text", "held_out")
     blocks = read.mapInPandas(counter(BUCKETS * read.rdd.getNumPartitions()), "bucket int, kind int, keys binary, times binary")
     counted = cut(blocks.groupBy("bucket").applyInPandas(total, "kind int, key long, n long"), "lm-counts")
-    strings = levels(counted.where("kind = 0").select("key", "n"))
-    for level in strings[:-1]:
-        discard(level)
-    tree = strings[-1]
+    tree = cut(likelihoods(counted.where("kind = 0").select("key", "n")), "lm-tree")
     words = counted.where("kind = 1").select("key", "n")
     all_, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # At most WORDS rows and the end token, which is in no join.

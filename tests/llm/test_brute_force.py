@@ -402,3 +402,16 @@ def test_join_links_under_a_prefix_of_more_leaders_than_a_task_holds(spark):
     got = ngram_join.links_met(entries, 4).collect()
     assert {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in got} == pairs
     assert {(r.shared, round(r.like, 6)) for r in got} <= {(5, 0.75), (8, 0.75)}
+
+
+def test_branches_give_the_whole_tree(spark, texts):
+    """Cut into branches of a few strings, the tree is that of all strings together."""
+    windows = np.concatenate([suffix_tree.windows([suffix_tree.tokens(t)])[0] for t in texts.values()])
+    keys, n = np.unique(windows, return_counts=True)
+    n[::7] = 0
+    whole = suffix_tree.levels(keys, n, [])[-1]
+    strings = spark.createDataFrame(pd.DataFrame({"key": keys, "n": n}))
+    got = suffix_tree.likelihoods(strings, branch=300).toPandas().sort_values("key")
+    assert np.array_equal(got.key, whole.key) and np.array_equal(got.n, whole.n) and np.allclose(got.p, whole.p, rtol=1e-12)
+    crown, large = suffix_tree.crowned(strings, 300, suffix_tree.LEAST_CONTEXT, suffix_tree.GAIN)
+    assert len(crown) > 4 and len(large) > 2 and max(len(level.key) for level in crown) < len(keys) / 4
