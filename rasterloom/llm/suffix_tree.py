@@ -27,13 +27,11 @@ tree is the uniform distribution and every word is unknown; further columns are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,7 @@ BRANCH, LEAST_BRANCH = 1 << 19, 1 << 14
 LEAST_CONTEXT = 4
 GAIN = 0.5
 WORDS = 1 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 HELD_STRINGS = 2 << 20
 #: Counts from here on are one bar of the histogram from which the least count of the broadcast strings is read.
 BARS = 4_096
@@ -58,22 +56,48 @@ BUCKETS = 4
 END_KEY = 0
 
 
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def tokens(text: str | None) -> list[bytes]:
     """The words of a text; the end token is not among them."""
     return text.encode().translate(LOWER).split() if text else []
 
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def normalised(text: str | None) -> bytes:
+    """The words with one space after each but the last."""
+    return b" ".join(tokens(text))
+
 
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 31) - (1 << 63) or 1
 
+def word_keys(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of normalised texts, and the number of words of each text.
 
-def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The last DEPTH + 1 symbols at each symbol of the texts, as one number, and where each text begins."""
+    A word's hash is the sum of a hash of each byte and its place; the end token's key is left free.
+    """
+    count = np.array([p.count(b" ") + 1 if p else 0 for p in parts], dtype=np.int64)
+    flat = np.frombuffer(b" ".join(p for p in parts if p), dtype=np.uint8)
+    if not len(flat):
+        return np.zeros(0, dtype=np.int64), count
+    space = np.flatnonzero(flat == 32)
+    starts = np.r_[0, space + 1]
+    place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.r_[starts, len(flat) + 1]))[: len(flat)]
+    each = _stirred(flat.astype(np.uint64) | (place.astype(np.uint64) + np.uint64(1) << np.uint64(8)))
+    each[space] = 0
+    keys = _stirred(np.add.reduceat(each, starts)).view(np.int64)
+    keys[keys == END_KEY] = 1
+    return keys, count
+
+
+def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The last DEPTH + 1 symbols at each symbol of normalised texts, as one number, and where each text begins."""
     pad = bytes([END]) * DEPTH
-    parts = [b" ".join(words) + bytes([END]) for words in texts]
+    parts = [p + bytes([END]) for p in parts]
     flat = np.frombuffer(pad + pad.join(parts), dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(p) for p in parts])
     starts = DEPTH + np.concatenate([[0], np.cumsum(sizes + DEPTH)[:-1]])
@@ -85,12 +109,12 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key[at - DEPTH], begins[:-1]
 
 
-def grouped(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
-    """Texts' words in lists of bounded size."""
+def grouped(texts: Iterator[str | None]) -> Iterator[list[bytes]]:
+    """Normalised texts in lists of bounded size (or of one text)."""
     some, size = [], 0
     for t in texts:
-        some.append(tokens(t))
-        size += len(t) if t else 0
+        some.append(normalised(t))
+        size += len(some[-1])
         if size >= BATCH_BYTES:
             yield some
             some, size = [], 0
@@ -118,6 +142,38 @@ def _dealt(kind: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> pd.D
     return pd.DataFrame(blocks, columns=["bucket", "kind", "keys", "times"])
 
 
+class Held:
+    """Counts of keys of one kind, summed now and then, given out in blocks that hold many."""
+
+    def __init__(self, kind: int, buckets: int, room: int) -> None:
+        self.kind, self.buckets, self.room = kind, buckets, room
+        self.keys: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.keys.append(keys)
+        self.times.append(times)
+        self.size += len(keys)
+        if 2 * self.size > 3 * self.room:
+            k, n = _merged(self.keys, self.times)
+            self.keys, self.times, self.size = [k], [n], len(k)
+            if len(k) > self.room:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.size:
+            yield _dealt(self.kind, *_merged(self.keys, self.times), self.buckets)
+            self.keys, self.times, self.size = [], [], 0
+
+
+def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def counter(buckets: int):
     """Counts of strings (kind 0) and words (kind 1) of batches, in blocks that hold some megabytes of text.
 
@@ -125,43 +181,25 @@ def counter(buckets: int):
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        words: Counter = Counter()
-        ends = held = 0
-
-        def word_rows() -> pd.DataFrame:
-            return _dealt(1, np.array([END_KEY, *map(word_key, words)], dtype=np.int64), np.array([ends, *words.values()], dtype=np.int64), buckets)
-
+        strings, words = Held(0, buckets, HELD_STRINGS), Held(1, buckets, HELD_STRINGS // 4)
+        ends = 0
         for b in batches:
             at = 0
             for some in grouped(b.text.array):
                 training = ~b.held_out.to_numpy(dtype=bool)[at : at + len(some)]
                 at += len(some)
-                windows_, begins = windows(some)
-                new, back = np.unique(windows_, return_inverse=True)
-                sizes = np.diff(np.append(begins, len(windows_)))
-                n = np.bincount(back[np.repeat(training, sizes)], minlength=len(new))
-                keys.append(new)
-                times.append(n)
-                held += len(new)
-                for w, counts in zip(some, training):
-                    if counts:
-                        words.update(w)
+                keys, begins = windows(some)
+                learnt = np.repeat(training, np.diff(np.append(begins, len(keys))))
+                yield from strings.add(*_kinds(keys[learnt]))
+                others, times = _kinds(keys[~learnt])
+                yield from strings.add(others, np.zeros_like(times))
+                keys, size = word_keys(some)
+                yield from words.add(*_kinds(keys[np.repeat(training, size)]))
                 ends += int(training.sum())
-                if 2 * held > 3 * HELD_STRINGS:
-                    k, n = _merged(keys, times)
-                    keys, times, held = [k], [n], len(k)
-                    if held > HELD_STRINGS:
-                        yield _dealt(0, k, n, buckets)
-                        keys, times, held = [], [], 0
-                if len(words) > HELD_STRINGS // 4:
-                    yield word_rows()
-                    words, ends = Counter(), 0
-        if held:
-            yield _dealt(0, *_merged(keys, times), buckets)
         if ends:
-            yield word_rows()
+            yield from words.add(np.array([END_KEY], dtype=np.int64), np.array([ends], dtype=np.int64))
+        yield from strings.rest()
+        yield from words.rest()
 
     return count
 
@@ -363,57 +401,49 @@ def most_frequent(level: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]
     return key[order], log[order]
 
 
+def _looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and its value there, else 0; different keys are looked up once."""
+    code, new = pd.factorize(keys)
+    order = np.argsort(new)
+    hit, i = _find(table, new[order])
+    found, value = np.zeros(len(new), dtype=bool), np.zeros(len(new))
+    found[order] = hit
+    value[order[hit]] = values[i[hit]]
+    return found[code], value[code]
+
+
 def scorer(likely, frequent, train_tokens: int, kinds: int):
     """Scores of batches; strings outside ``likely`` and words outside ``frequent`` come back as numbers and how often they occur."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = frequent.value
+        words, times = frequent.value
         strings, chances = likely.value
-        known = dict(zip(keys.tolist(), counts.tolist()))
-        memo: dict[bytes, tuple[int, int]] = {}
         unit = train_tokens + 0.1 * (kinds + 1)
-        end = known.get(END_KEY, 0)
+        end = int(times[words == END_KEY].sum())
         for b in batches:
             at = 0
             for some in grouped(b.text.array):
                 rows = b.iloc[at : at + len(some)]
                 at += len(some)
-                keys_, begins = windows(some)
-                u, back = np.unique(keys_, return_inverse=True)
-                hit, i = _find(strings, u)
-                log = np.zeros(len(u))
-                log[hit] = chances[i[hit]]
-                logs = np.add.reduceat(log[back], begins)
-                gaps = _gaps(keys_, ~hit[back], begins)
-                out = []
-                for words, log, (gap, gap_times) in zip(some, logs, gaps):
-                    base, hits = np.log10((end + 0.1) / unit), int(end > 0)
-                    rare: list[int] = []
-                    times: list[int] = []
-                    for w, n in Counter(words).items():
-                        m = memo.get(w)
-                        if m is None:
-                            k = word_key(w)
-                            m = memo[w] = (k, known.get(k, 0))
-                        if m[1]:
-                            base += n * np.log10((m[1] + 0.1) / unit)
-                            hits += n
-                        else:
-                            rare.append(m[0])
-                            times.append(n)
-                    out.append((len(words) + 1, hits, base, float(log), rare, times, gap, gap_times))
-                    if len(memo) > 150_000:
-                        memo.clear()
-                got = pd.DataFrame(out, columns=["n_tokens", "hits", "base", "score", "rare", "times", "gaps", "gap_times"])
-                yield pd.concat([rows[["doc_id", "held_out"]].reset_index(drop=True), got], axis=1)
+                keys, begins = windows(some)
+                hit, log = _looked_up(keys, strings, chances)
+                gaps = _missing(keys, ~hit, np.append(begins, len(keys)))
+                scores = np.add.reduceat(log, begins)
+                keys, count = word_keys(some)
+                hit, seen = _looked_up(keys, words, times)
+                of = np.repeat(np.arange(len(some)), count)
+                known = np.bincount(of[hit], minlength=len(some)) + int(end > 0)
+                base = np.bincount(of[hit], weights=np.log10((seen[hit] + 0.1) / unit), minlength=len(some)) + np.log10((end + 0.1) / unit)
+                rare = _missing(keys, ~hit, np.r_[0, np.cumsum(count)])
+                got = {"n_tokens": count + 1, "hits": known, "base": base, "score": scores, "rare": [r[0] for r in rare], "times": [r[1] for r in rare], "gaps": [g[0] for g in gaps], "gap_times": [g[1] for g in gaps]}
+                yield pd.concat([rows[["doc_id", "held_out"]].reset_index(drop=True), pd.DataFrame(got)], axis=1)
 
     return score
 
 
-def _gaps(keys: np.ndarray, missing: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the different strings that are missing, and how often each occurs."""
-    ends = np.append(begins[1:], len(keys))
-    return [np.unique(keys[i:j][missing[i:j]], return_counts=True) for i, j in zip(begins, ends)]
+def _missing(keys: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the different keys that are missing, and how often each occurs."""
+    return [np.unique(keys[i:j][missing[i:j]], return_counts=True) for i, j in zip(ends[:-1], ends[1:])]
 
 
 def tenth(id_col: str = "doc_id") -> Column:
@@ -432,9 +462,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = counted.where("kind = 1").select("key", "n")
     all_, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # At most WORDS rows and the end token, which is in no join.
-    often = words.where((F.col("n") * F.lit(WORDS) >= F.lit(all_)) | (F.col("key") == F.lit(END_KEY))).toPandas()
+    often = words.where((F.col("n") * F.lit(WORDS) >= F.lit(all_)) | (F.col("key") == F.lit(END_KEY))).toArrow().sort_by("key")
     model = spark.sparkContext.broadcast(most_frequent(tree, FREQUENT))
-    frequent = spark.sparkContext.broadcast((often.key.to_numpy(), often.n.to_numpy()))
+    frequent = spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("n").to_numpy()))
     scored = chosen.mapInPandas(
         scorer(model, frequent, all_, kinds),
         "doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, times array<long>, gaps array<long>, gap_times array<long>",

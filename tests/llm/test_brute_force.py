@@ -195,7 +195,7 @@ def test_word_model_and_tree(docs, texts):
 
 
 def test_tree_is_a_distribution(spark):
-    rows = [suffix_tree.tokens(t) for t in ("the cat sat on the mat " * 30, "the dog sat on a log " * 30)]
+    rows = [suffix_tree.normalised(t) for t in ("the cat sat on the mat " * 30, "the dog sat on a log " * 30)]
     keys, n = np.unique(suffix_tree.windows(rows)[0], return_counts=True)
     tree = suffix_tree.grow(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "key long, n long"))
     for context in (b"\n\n\n\n\n\n", b"on the", b"he cat", b"zzzzzz", b"at\xff\xfe q"):
@@ -209,7 +209,7 @@ def test_every_string_of_the_tree_is_scored(spark, docs, texts, monkeypatch):
     few = 256
     monkeypatch.setattr(suffix_tree.grow, "__defaults__", tuple(few if x == 1 << 20 else x for x in suffix_tree.grow.__defaults__))
     monkeypatch.setattr(suffix_tree, "FREQUENT", few, raising=False)
-    rows = {d: suffix_tree.tokens(t) for d, t in texts.items()}
+    rows = {d: suffix_tree.normalised(t) for d, t in texts.items()}
     training = [w for d, w in rows.items() if zlib.crc32(str(d).encode()) % 10]
     keys, n = np.unique(suffix_tree.windows(training)[0], return_counts=True)
     counts, total = [dict(zip(keys.tolist(), n.tolist()))], {}
@@ -406,7 +406,7 @@ def test_join_links_under_a_prefix_of_more_leaders_than_a_task_holds(spark):
 
 def test_branches_give_the_whole_tree(spark, texts):
     """Cut into branches of a few strings, the tree is that of all strings together."""
-    windows = np.concatenate([suffix_tree.windows([suffix_tree.tokens(t)])[0] for t in texts.values()])
+    windows = np.concatenate([suffix_tree.windows([suffix_tree.normalised(t)])[0] for t in texts.values()])
     keys, n = np.unique(windows, return_counts=True)
     n[::7] = 0
     whole = suffix_tree.levels(keys, n, [])[-1]
@@ -415,3 +415,11 @@ def test_branches_give_the_whole_tree(spark, texts):
     assert np.array_equal(got.key, whole.key) and np.array_equal(got.n, whole.n) and np.allclose(got.p, whole.p, rtol=1e-12)
     crown, large = suffix_tree.crowned(strings, 300, suffix_tree.LEAST_CONTEXT, suffix_tree.GAIN)
     assert len(crown) > 4 and len(large) > 2 and max(len(level.key) for level in crown) < len(keys) / 4
+
+
+def test_word_keys_differ_as_words_do(texts):
+    parts = [suffix_tree.normalised(t) for t in [*texts.values(), "", None, "a", "a a b ab ba b" + "b" * 5000, " x "]]
+    keys, count = suffix_tree.word_keys(parts)
+    words = [w for p in parts for w in p.split()]
+    assert count.tolist() == [len(p.split()) for p in parts] and len(keys) == len(words)
+    assert len(set(keys.tolist())) == len(set(words)) == len(set(zip(words, keys.tolist()))) and suffix_tree.END_KEY not in keys
