@@ -3,11 +3,12 @@
 Groups that must stay together (equal texts) are jobs; their bytes are the processing times. Jobs, sorted by
 size, go one after another to the least-loaded shard, which a heap yields.
 
-How it scales: a group of at least ``1/units`` of all bytes is a job of its own; there are at most ``units``
-of those. Lighter groups ride in ``units`` bundles dealt by their hash, and each bundle is a job. The driver
-thus sees at most ``2 * units`` numbers whatever the input, the lookup tables that are broadcast hold as many
-rows, and the loads differ by one bundle (about ``1/units`` of the bytes) from plain scheduling. Where no
-group is lighter than the bound the result is the plain schedule.
+How it scales: jobs of one size are interchangeable, so the driver schedules sizes: how many groups have it. Shards'
+loads decide how many jobs of a run of equal ones each shard takes, by the same heap or, for long runs, by the level
+that the run fills them to. The schedule is that of plain scheduling at any number of groups. Different sizes whose
+sum is the input's bytes are at most the square root of twice the bytes (a quarter of a million for 30 GB, 14 million
+for 100 TB), and that is what the driver holds. A group then finds its shard from its rank among those of its size,
+which comes from salted parts; the runs' shares are broadcast up to ``BROADCAST_SIZES`` sizes and joined beyond.
 
 Defined results: a null text has no bytes, size 1, checksum 0, and all null texts are one group, apart from
 the empty text's; a null id is kept; repeated rows each get a slot of their own; an empty table gives no
@@ -19,27 +20,52 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, salted_rank
 
-UNITS = 65_536
+BROADCAST_SIZES = 1 << 18
+RANK_PARTS = 64
 SLOT_PARTS = 8_192
 
 
-def schedule(jobs: Iterable[tuple[int, object]], n_shards: int) -> dict[object, int]:
-    """Longest processing time first: (size, key) pairs to shards. Ties in size go by key, in load by shard."""
-    loads = [(0, s) for s in range(n_shards)]
-    placed = {}
-    for size, key in sorted(jobs, key=lambda j: (-j[0], j[1])):
-        load, shard = heapq.heappop(loads)
-        placed[key] = shard
-        heapq.heappush(loads, (load + size, shard))
-    return placed
+def schedule(sizes: Iterable[tuple[int, int]], n_shards: int) -> list[list[int]]:
+    """Longest processing time first: (size, jobs) of falling size to the jobs that each shard takes of that size.
 
+    Ties in load go by shard. A run of equal jobs takes the least of the places ``load + k * size``, in order.
+    """
+    loads = [0] * n_shards
+    heap = [(0, s) for s in range(n_shards)]
+    out = []
+    for size, jobs in sorted(sizes, reverse=True):
+        took = [0] * n_shards
+        if jobs > 4 * n_shards:
+            # All places below a level, the highest that has no more than the jobs.
+            low, high = min(loads), max(loads) + size * (jobs // n_shards + 1)
+            while low < high:
+                level = (low + high + 1) // 2
+                if sum(max(0, -(-(level - x) // size)) for x in loads) <= jobs:
+                    low = level
+                else:
+                    high = level - 1
+            took = [max(0, -(-(low - x) // size)) for x in loads]
+            loads = [x + k * size for x, k in zip(loads, took)]
+            jobs -= sum(took)
+            heap = [(x, s) for s, x in enumerate(loads)]
+            heapq.heapify(heap)
+        for _ in range(jobs):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            loads[s] += size
+            took[s] += 1
+        out.append(took)
+    return out
 
-def lpt_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
+
+def lpt_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -54,27 +80,24 @@ def lpt_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
         "shard-rows",
     )
     groups = cut(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    bundle = F.pmod("h1", F.lit(units)).cast("int")
-    own = F.col("bytes") * F.lit(units) >= F.lit(total)
-    heavy = groups.where(own).toPandas()
-    light = groups.where(~own).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).toPandas()
-    jobs = [(int(b), (0, int(x), int(y))) for x, y, b in zip(heavy.h1, heavy.h2, heavy.bytes)]
-    jobs += [(int(b), (1, int(k), 0)) for k, b in zip(light.bundle, light.bytes)]
-    placed = schedule(jobs, n_shards)
-    of_heavy = spark.createDataFrame([(k[1], k[2], s) for k, s in placed.items() if not k[0]], "h1 long, h2 long, heavy_shard int")
-    of_light = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0]], "bundle int, light_shard int")
-    # Both tables have at most `units` rows of 20 bytes.
-    sharded = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(of_heavy), ["h1", "h2"], "left")
-        .join(F.broadcast(of_light), ["bundle"], "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("heavy_shard", "light_shard").alias("shard"))
-    )
+    sizes = groups.groupBy("bytes").count().toArrow().sort_by([("bytes", "descending")])
+    each = list(zip(sizes.column(0).to_pylist(), sizes.column(1).to_pylist()))
+    # The ranks below which a group of a size goes to each shard.
+    ends = np.cumsum(np.array(schedule(each, n_shards), dtype=np.int64).reshape(-1, n_shards), axis=1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1) * n_shards, pa.int32()), pa.array(ends.ravel()))
+    dealt = spark.createDataFrame(pa.table({"bytes": pa.array([s for s, _ in each], pa.int64()), "ends": lists}))
+    if len(each) <= BROADCAST_SIZES:
+        dealt = F.broadcast(dealt)
+    salt = F.pmod("h2", F.lit(RANK_PARTS))
+    ranked = salted_rank(groups, ["bytes"], salt, [F.col("h1"), F.col("h2")], "rank", RANK_PARTS)
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    # Written first: a join of two plain tables is one whose hot groups Spark can split.
+    of_group = cut(ranked.join(dealt, "bytes").select("h1", "h2", shard.cast("int").alias("shard")), "shard-of")
+    sharded = rows.join(of_group, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard")
     parts = max(1, SLOT_PARTS // n_shards)
     salt = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts))
-    ranked = salted_rank(sharded, ["shard"], salt, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot", parts)
-    return ranked.select(
+    slots = salted_rank(sharded, ["shard"], salt, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot", parts)
+    return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

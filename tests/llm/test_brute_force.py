@@ -113,11 +113,34 @@ def test_shards_equal_plain_scheduling(docs, texts):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
-def test_shards_in_bundles_stay_near_equal(docs):
-    got = Counter()
-    for r in sharding.lpt_shards(docs, n_shards=4, units=64).collect():
-        got[r.shard] += r["size"]
-    assert max(got.values()) < 1.1 * min(got.values())
+def plain_schedule(sizes, n_shards):
+    heap, loads = [(0, s) for s in range(n_shards)], [0] * n_shards
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        loads[s] = load + size
+        heapq.heappush(heap, (load + size, s))
+    return loads
+
+
+@pytest.mark.parametrize("n_shards", [1, 3, 8])
+def test_runs_of_equal_jobs_fill_as_one_by_one(n_shards):
+    rng = np.random.default_rng(n_shards)
+    for _ in range(60):
+        sizes = Counter(dict(zip(rng.integers(1, 200, 12).tolist(), rng.integers(1, 300, 12).tolist())))
+        took = sharding.schedule(sizes.items(), n_shards)
+        falling = sorted(sizes, reverse=True)
+        assert [sum(row) for row in took] == [sizes[s] for s in falling]
+        assert [sum(s * row[i] for s, row in zip(falling, took)) for i in range(n_shards)] == plain_schedule(sizes.elements(), n_shards)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_shards_of_many_groups_equal_plain_scheduling(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(sharding, "BROADCAST_SIZES", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    groups = [r[0] for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 1).alias("n")).select("n").collect()]
+    loads = {r[0]: r[1] for r in sharding.lpt_shards(docs).groupBy("shard").agg(F.sum("size")).collect()}
+    assert [loads[s] for s in range(8)] == plain_schedule(groups, 8)
 
 
 def test_encoder_agrees_with_the_vocabulary_file():
