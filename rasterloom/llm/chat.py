@@ -8,8 +8,9 @@ the texts of a merged turn, so that the turns can be read back exactly. The loss
 spans, one for each assistant body.
 
 How it scales: one shuffle by conversation. The result is one string a conversation, so a conversation's turns
-meet in one task by the nature of the result; the work is linear in its length, and conversations of a common
-first turn or text do not meet.
+meet in one task by the nature of the result; conversations of a common first turn or text do not meet. The work is
+linear in a conversation's length: where segments begin are running sums of a window over its exploded segments (no
+further shuffle), and spans are read from the string cut once into blocks of ``BLOCK`` characters.
 
 Defined results: a null text is empty, a null role is the empty role; null conversation ids are one
 conversation; turns are ordered by number (null first), ties by role and text; repeated rows are repeated
@@ -18,13 +19,15 @@ turns; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN = {"user": "[INST] ", "assistant": " ", "system": "<<SYS>> "}
 CLOSE = {"user": " [/INST]", "assistant": " </s>", "system": " <</SYS>>"}
 OTHER_OPEN, OTHER_CLOSE = "[ROLE] ", " [/ROLE]"
 START, JOINT, ROLE_END = "<s>", "\\3", "\\4"
+#: Characters of a block in which a span is looked up: finding a character costs what stands before it.
+BLOCK = 4_096
 SEGMENT = r"\[INST\] [^\[<]* \[/INST\]|<<SYS>> [^\[<]* <</SYS>>|\[ROLE\] [^\[<]* \[/ROLE\]| [^\[<]* </s>"
 
 
@@ -82,19 +85,29 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             F.length(opening).alias("lead"), F.length(r.body).alias("body"), (r.role == "assistant").alias("loss"),
         )
 
-    chats = chats.select("conv_id", F.transform("runs", segment).alias("segments"))
-    # Where segments begin: running sums of their lengths.
-    chats = chats.withColumn("sizes", F.transform("segments", lambda s: F.length(s.text)))
-    chats = chats.withColumn(
-        "begins",
-        F.aggregate("sizes", F.array(F.lit(len(START))), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + s)),
-    )
+    parts = chats.select("conv_id", F.posexplode(F.transform("runs", segment)).alias("pos", "s"))
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("begin", F.coalesce(F.sum(F.length("s.text")).over(before), F.lit(0)) + len(START))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "begin", "s"))).alias("parts"))
     spans = F.transform(
-        F.filter(F.arrays_zip("segments", "begins"), lambda z: z.segments.loss),
-        lambda z: F.struct((z.begins + z.segments.lead).alias("start"), z.segments.body.alias("length")),
+        F.filter("parts", lambda z: z.s.loss),
+        lambda z: F.struct((z.begin + z.s.lead).cast("int").alias("start"), z.s.body.alias("length")),
     )
-    text = F.concat(F.lit(START), F.array_join(F.transform("segments", lambda s: s.text), ""))
-    return chats.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    text = F.concat(F.lit(START), F.array_join(F.transform("parts", lambda z: z.s.text), ""))
+    return whole.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The texts of spans (start from 0 and length, in characters), each in time that does not grow with its start."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def one(blocks: Column, s: Column) -> Column:
+        first, last = F.floor(s.start / BLOCK).cast("int"), F.floor((s.start + s.length) / BLOCK).cast("int")
+        return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), s.start % BLOCK + 1, s.length)
+
+    # The blocks are an argument, so they are cut once and not for each span.
+    both = F.array(F.struct(blocks.alias("blocks"), spans.alias("spans")))
+    return F.element_at(F.transform(both, lambda z: F.transform(z.spans, lambda s: one(z.blocks, s))), 1)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -123,9 +136,7 @@ def digests(chats: DataFrame) -> DataFrame:
     """What the contract asks for, read back from ``formatted`` and ``loss_spans``."""
     turns = F.col("turns")
     said = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    masked = F.array_join(
-        F.transform("loss_spans", lambda s: plain(F.replace(F.substr("formatted", s.start + 1, s.length), F.lit(JOINT), F.lit("")))), ""
-    )
+    masked = F.array_join(F.transform(cut_out(F.col("formatted"), F.col("loss_spans")), lambda t: plain(F.replace(t, F.lit(JOINT), F.lit("")))), "")
     read = chats.withColumn("turns", read_turns(F.col("formatted"))).withColumn("masked", masked)
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables, clashing columns: the defined results."""
 
+import hashlib
+import time
 import zlib
 
 import pytest
@@ -86,3 +88,18 @@ def test_chat(spark):
     assert turns == {1: [(r[2] or "", r[3] or "") for r in rows[:6]], None: [("user", "")]}
     assert {r.conv_id: r.loss_chars for r in chat.digests(chats).collect()} == {1: 21, None: 0}
     assert chat.digests(chat.format_chats(df.limit(0))).collect() == []
+
+
+def test_chat_of_very_many_turns(spark):
+    """40,000 turns, texts longer than a block, characters outside the basic plane, repeated rows."""
+    rows = [(1, i, ("user", "assistant", "assistant", "tool")[i % 4], f"{i}\U0001F600<x>" + "ab[é" * (3_000 if i % 5_000 == 1 else i % 3)) for i in range(40_000)]
+    rows += [(2, 0, "user", "same")] * 3 + [(2, 1, "assistant", "same")] * 2
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = {r.conv_id: [(t.role, t.text) for t in r.t] for r in chats.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert turns == {k: [(r[2], r[3]) for r in rows if r[0] == k] for k in (1, 2)}
+    began = time.monotonic()
+    got = {r.conv_id: r for r in chat.digests(chats).collect()}
+    assert time.monotonic() - began < 30
+    for k in (1, 2):
+        said = "".join(r[3] for r in rows if r[0] == k and r[2] == "assistant")
+        assert (got[k].loss_chars, got[k].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
