@@ -20,8 +20,10 @@ How it scales: texts are shuffled once, for classes with candidates to meet thei
 links leave a task, never pairs.
 
 Defined results: a null text and a text without words have no shingles, are in a class of their own and have
-no links; a null id is kept, and is the class id only where all ids of the class are null; repeated rows are
-copies of one another; an empty table gives no rows; further columns are ignored (:func:`deduplicate` keeps them).
+no links (:func:`deduplicate` keeps all null and empty texts, and one of equal texts of signs only); a null id is
+kept, is no other row's id, and is the class id only where all ids of the class are null; repeated rows are copies
+of one another; an empty table gives no rows; further columns are ignored (:func:`deduplicate` keeps them, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import components
-from .shared import cut
+from .shared import cut, discard
 
 WORDS_IN_SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,8 +55,8 @@ CROWDED = -1
 LINKS = "a binary, b binary, shared int, like double"
 #: A class this similar to a leader is none itself. With this slack, a link to a leader needs LEAST_LED.
 LEADER_RADIUS = 0.95
-LEAST_LED = 0.6
-BLOCK = 512
+LEAST_LED = 0.5
+BLOCK = 128
 BLOCK_CHARS = 16 << 20
 BATCH_CHARS = 4 << 20
 RUN = 1 << 16
@@ -83,9 +85,10 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     n = WORDS_IN_SHINGLE
 
     def rolled(width: int, part: np.ndarray) -> np.ndarray:
-        out = np.full(max(0, len(part) - width + 1), width, dtype=np.uint64)
+        size = max(0, len(part) - width + 1)
+        out = np.full(size, width, dtype=np.uint64)
         for j in range(width):
-            out = out * step + part[j : len(part) - width + 1 + j]
+            out = out * step + part[j : j + size]
         return stirred(out)
 
     every = rolled(n, h)
@@ -147,7 +150,8 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mini = nibbles[:, ::2] | (nibbles[:, 1::2] << 4)
                 for i, s, m in zip(full, strings.tolist(), mini):
                     trees[i], minis[i] = s, m.tobytes()
-            yield rows.assign(cid=[xxhash.xxh128_digest(s.tobytes()) for s in sets], n=[len(s) for s in sets], size=[len(t) if t else 0 for t in texts[part]], trees=trees, mini=minis)
+            cid = [xxhash.xxh128_digest(s.tobytes() if len(s) else b"-" + (t or "").encode()) for s, t in zip(sets, texts[part])]
+            yield rows.assign(cid=cid, n=[len(s) for s in sets], size=[len(t) if t else 0 for t in texts[part]], trees=trees, mini=minis)
 
 
 SKETCHED = "k long, t1 long, doc_id long, cid binary, n int, size long, trees array<long>, mini binary"
@@ -395,17 +399,22 @@ def _verify(threshold: float):
     return run
 
 
-def row_key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
+def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """k and t1, equal for rows of equal id (null apart from any number) and text."""
+    id_ = id_.cast("long")
+    return F.coalesce(id_, F.lit(0)).alias("k"), F.xxhash64(F.isnull(id_), text.cast("string")).alias("t1")
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """k, t1, doc_id, n, links, first: a row for each row of ``docs``; ``first`` is its class's first (none, id, k, t1)."""
-    texts = docs.select(row_key(id_col).alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("t1"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """k, t1, doc_id, n, size, links, first: a row for each row of ``docs``; ``first`` is its class's first (none, id, k, t1).
+
+    Equal texts without words are a class here, empty ones are not.
+    """
+    texts = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(texts.mapInPandas(sketch, SKETCHED), "join-rows")
     itself = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k", "t1")
     classes = cut(
-        rows.where("n > 0").groupBy("cid").agg(F.min(itself).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"), F.first("mini").alias("mini"), F.max("size").alias("size")),
+        rows.where("size > 0").groupBy("cid").agg(F.min(itself).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"), F.first("mini").alias("mini"), F.max("size").alias("size")),
         "join-classes",
     )
     entries = classes.select("cid", "mini", F.posexplode("trees").alias("tree", "string"))
@@ -421,13 +430,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_CHARS))
     sizes = members.groupBy("root").agg(F.least(blocks, F.count(F.lit(1))).cast("int").alias("blocks"))
     members = members.drop("size").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = texts.select("k", "t1", "text").join(members, ["k", "t1"])
+    placed = texts.select("k", "t1", "text").join(members, ["k", "t1"]).dropDuplicates(["k", "t1"])
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    verified = cut(
-        paired.select("root", "i", "j", "cid", "block", "copies", "text").groupBy("root", "i", "j").applyInPandas(_verify(threshold), "cid binary, links long, peer binary"),
-        "join-verified",
-    )
+    # As many tasks as partitions: a pair of blocks is much work for its bytes.
+    paired = paired.select("root", "i", "j", "cid", "block", "copies", "text").repartition(parts, "root", "i", "j")
+    verified = cut(paired.groupBy("root", "i", "j").applyInPandas(_verify(threshold), "cid binary, links long, peer binary"), "join-verified")
     final = components(verified.select(F.col("cid").alias("a"), F.col("peer").alias("b")))
     links = verified.groupBy("cid").agg(F.sum("links").alias("near"))
     known = classes.select("cid", "rep", "copies").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -435,22 +443,32 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = known.join(firsts, "root").join(links, "cid", "left")
     # Written first: a join of two plain tables is one whose hot classes Spark can split.
     known = cut(known.select("cid", "first", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-known")
-    return rows.select("k", "t1", "doc_id", "n", "cid").join(known, (rows.cid == known.cid) & (rows.n > 0), "left").select(
-        "k", "t1", "doc_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", itself).alias("first")
+    for done in (classes, found, groups, verified, final):
+        discard(done)
+    return rows.select("k", "t1", "doc_id", "n", "size", "cid").join(known, (rows.cid == known.cid) & (rows["size"] > 0), "left").select(
+        "k", "t1", "doc_id", "n", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", itself).alias("first")
     )
 
 
 def similarity_classes(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id (the class's smallest id), links (other documents at or above the threshold)."""
-    return classified(docs, **how).select("doc_id", F.col("first.id").alias("class_id"), F.col("links").cast("long").alias("links"))
+    wordy = F.col("n") > 0
+    return classified(docs, **how).select(
+        "doc_id", F.when(wordy, F.col("first.id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(wordy, F.col("links")).otherwise(0).cast("long").alias("links")
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest id."""
+    """``docs`` with one document of each class, the one of the smallest id, and one of equal texts without words.
+
+    Null and empty texts all stay. Of rows of equal id and text the one that is first by a hash of the row stays.
+    """
     own = classified(docs, id_col=id_col, text_col=text_col, **how)
-    stay = own.where((F.col("n") == 0) | ((F.col("k") == F.col("first.k")) & (F.col("t1") == F.col("first.t1"))))
-    stay = stay.select(F.col("k").alias("_k"), F.col("t1").alias("_t1"), (F.col("n") == 0).alias("_all")).distinct()
-    keyed = docs.withColumn("_k", row_key(id_col)).withColumn("_t1", F.xxhash64(F.col(text_col).cast("string")))
-    same = Window.partitionBy("_k", "_t1").orderBy(F.col(text_col).cast("string"))
-    kept = keyed.join(stay, ["_k", "_t1"]).withColumn("_rn", F.row_number().over(same)).where("_all or _rn = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = own.where((F.col("size") > 0) & (F.col("k") == F.col("first.k")) & (F.col("t1") == F.col("first.t1"))).select("k", "t1")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    blank = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")) == ""
+    keyed = row.where(~blank).select("row", *row_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
+    hashed = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    same = Window.partitionBy("k", "t1").orderBy(F.xxhash64(*hashed))
+    one = keyed.withColumn("rn", F.row_number().over(same)).where("rn = 1")
+    return one.join(stay, ["k", "t1"], "left_semi").select("row.*").unionByName(row.where(blank).select("row.*"))

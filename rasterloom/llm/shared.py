@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _OWN_DIR: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and Spark is one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="rasterloom-"))
     return _OWN_DIR[0]
@@ -28,20 +31,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation and two readers see the same rows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table written by :func:`cut` that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written by :func:`cut`: when no result is still to be read."""
+    _delete(spark, f"{scratch_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -61,6 +61,23 @@ def test_join_edges(docs):
     assert kept.count() == len(ROWS) - 1 and kept.columns == docs.columns
 
 
+def test_join_of_null_ids_signs_and_clashing_columns(spark):
+    rows = [(None, "one two three"), (-1, "four five six"), (0, "seven eight"), (None, "one two three"), (7, "!!!"), (8, "!!!"), (9, "..."), (None, "!!!"), (10, None), (11, None), (12, ""), (13, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"KEEP{c}").alias(c) for c in ("_k", "_t1", "_rn", "_all", "row", "k", "t1", "rn", "size", "cid")])
+    kept = ngram_join.deduplicate(df)
+    assert kept.columns == df.columns and {r._k for r in kept.collect()} == {"KEEP_k"} and {r.rn for r in kept.collect()} == {"KEEPrn"}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "one two three"), (-1, "four five six"), (0, "seven eight"), (7, "!!!"), (9, "..."), (10, None), (11, None), (12, ""), (13, " ")], key=repr)
+    classes = {(r.doc_id, r.class_id, r.links) for r in ngram_join.similarity_classes(df).collect()}
+    assert classes == {(None, None, 1), (None, None, 0), *((i, i, 0) for i in (-1, 0, 7, 8, 9, 10, 11, 12, 13))}
+
+
+def test_mix_order_keeps_any_column(spark):
+    rows = [(i, "ab"[i % 2]) for i in range(50)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").select("*", *[F.lit(c).alias(c) for c in ("_key", "_rank", "_position", "row", "id")])
+    got = mixing.in_mix_order(df)
+    assert got.columns == df.columns and sorted(got.collect(), key=repr) == sorted(df.collect(), key=repr)
+
+
 def test_shard_null_and_empty_apart(docs):
     rows = {r.doc_id: r for r in sharding.lpt_shards(docs).collect()}
     assert rows[2]["size"] == rows[3]["size"] == 1 and rows[2].text_crc32 == 0
