@@ -10,13 +10,15 @@ drifts however long the table is. The driver schedules every slot; a row finds i
 source. When a source ends, the others go on under weights scaled up to 1, and the targets count from that slot;
 such stretches are phases, at most one a source. No row is dropped or repeated.
 
-How it scales: the rank of a row in its source comes from salted parts (a hot source is never in one task). The
-schedule is 4 bytes a block of rows on the driver, in pieces of ``PIECE`` blocks that are broadcast, or joined
-when there are more than ``BROADCAST_NUMBERS`` blocks.
+How it scales: the rank of a row in its source comes from salted parts (a hot source is never in one task). A block
+has ``BLOCK_ROWS`` rows, or as many more as leave at most ``SLOTS`` blocks, so that the driver schedules, and
+broadcasts in pieces of ``PIECE``, 4 bytes a block whatever the input. A phase is rebuilt for every source that is
+left when one ends, so the driver's work also grows with the square of the number of sources: fine for thousands.
 
 Defined results: a null source is a source of its own; a null id is kept; repeated rows take neighbouring
 places; an empty table gives no rows; texts are not looked at; further columns are carried along by
-:func:`mix` and must not begin with an underscore. Rows of a source are taken in the order of a hash of their id.
+:func:`mix` and must not begin with an underscore (:func:`in_mix_order` takes any). Rows of a source are taken in the
+order of a hash of their id.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ BLOCK_ROWS = 4
 RESOLUTION = 4_096
 ALPHA = 0.5
 PARTS = 1_024
-BROADCAST_NUMBERS = 4_000_000
+#: The most blocks that the driver schedules, but for one more a source.
+SLOTS = 4_000_000
 #: Blocks of a source in a row of the schedule.
 PIECE = 1_024
 #: Products with a number of blocks fit 38 digits.
@@ -110,11 +113,12 @@ def phases(rows: dict[str, int], parts: dict[str, int], block_rows: int) -> list
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, alpha: float = ALPHA) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, resolution: int = RESOLUTION, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with _weight, _phase, _block, _release, _deadline, _slot and _position (from 0, gapless).
 
     ``weights``: the target share of each source, the null source's under None. Without it, shares are in
-    proportion to a source's rows to the power ``alpha``.
+    proportion to a source's rows to the power ``alpha``. ``block_rows``: None for as few, from ``BLOCK_ROWS``, as
+    leave ``SLOTS`` blocks.
     """
     spark: SparkSession = docs.sparkSession
     source = F.col(source_col).cast("string")
@@ -125,9 +129,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         if missing := set(rows) - set(given):
             raise ValueError(f"no weight for {sorted(missing)[:5]}")
     parts = whole_weights({s: given[s] if weights is not None else n**alpha for s, n in rows.items()}, resolution)
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(rows.values()) // SLOTS))
     plan: dict[str, list[tuple]] = {s: [] for s in rows}
     names, pieces, slots, ends = [], [], [], [0]
-    numbers = 0
     for s, phase, block, slot, place, a, whole, own in phases(rows, parts, block_rows):
         plan[s].append((phase, block, slot, place, Decimal(a), Decimal(whole), a / whole))
         for piece in range(-(-len(own) // PIECE)):
@@ -135,15 +139,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
             pieces.append(piece)
             slots.append(np.asarray(own[piece * PIECE : (piece + 1) * PIECE], dtype=np.int32))
             ends.append(ends[-1] + len(slots[-1]))
-        numbers += len(own)
     plans = F.broadcast(spark.createDataFrame(
         list(plan.items()),
         "_key string, _plan array<struct<phase:int,block:long,slot:long,place:long,a:decimal(28,0),whole:decimal(28,0),weight:double>>",
     ))
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(slots) if slots else [], pa.int32()))
-    schedule = spark.createDataFrame(pa.table({"_stretch": pa.array(names, pa.string()), "_piece": pa.array(pieces, pa.int64()), "_own": lists}))
-    if numbers <= BROADCAST_NUMBERS:  # 4 bytes each
-        schedule = F.broadcast(schedule)
+    schedule = F.broadcast(spark.createDataFrame(pa.table({"_stretch": pa.array(names, pa.string()), "_piece": pa.array(pieces, pa.int64()), "_own": lists})))
     hashed = keyed.withColumn("_hash", F.xxhash64(F.lit(3), F.col(id_col)))
     salt = F.shiftrightunsigned("_hash", 64 - (PARTS.bit_length() - 1))
     ranked = salted_rank(hashed, ["_key"], salt, [F.col("_hash"), F.col(id_col)], "_rank", PARTS)
@@ -168,9 +169,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     )
 
 
-def in_mix_order(docs: DataFrame, **how) -> DataFrame:
+def in_mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """The columns and rows of ``docs``, sorted by their place in the mix over all partitions."""
-    columns = docs.columns
-    mixed = mix(docs, **how)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), whole.alias("row")), id_col="id", **how)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "_position").sortWithinPartitions("_position").select(*columns)
+    return mixed.repartitionByRange(n, "_position").sortWithinPartitions("_position").select("row.*")
