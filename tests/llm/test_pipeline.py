@@ -1,5 +1,7 @@
 """Each stage of the pipeline against what it should do to its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rasterloom.llm import ngram_join, shared, toxicity
 
@@ -32,3 +34,17 @@ def test_packing_keeps_the_order_of_the_mix(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_on_odd_rows_and_columns(spark):
+    """Nulls, empty and repeated rows, an empty table, names that stages use themselves: every stage's defined result."""
+    rows = [(1, "alpha beta gamma delta epsilon", None), (1, "alpha beta gamma delta epsilon", "a"), (2, "alpha beta gamma delta epsilon", "a"), (None, None, "b"), (3, "", "b"), (4, "w " * 20_000, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit("K").alias(c) for c in ("_score", "score", "_k", "_key", "_run", "_file", "row", "lang", "n_chars")])
+    docs, empty = shared.cut(odd, "t"), shared.cut(odd.limit(0), "t")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = shared.cut(stage(spark, docs, SF), "t"), shared.cut(stage(spark, empty, SF), "t")
+        assert empty.count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in docs.collect()} == {1, None, 3, 4}
+        else:
+            assert docs.columns == odd.columns and docs.count() == (len(rows) if name == "toxicity" else len(rows) - 2)
