@@ -6,6 +6,11 @@ fitted document that names identity groups, each sentence's identity terms are s
 same list, and the model is fitted under a penalty on the squared change of the score's logit, so that naming a
 group does not by itself make a text toxic.
 
+Beside the fixed lists, terms are derived from the labelled sentences: words that at least ``LEAST_MENTIONS`` rows of
+either label hold, so that both neutral and toxic sentences mention them. Those that stand in like contexts (the
+frequent words before and after them) are a list, whose terms are swapped for one another. Derived terms that go with
+toxic rows only mildly enter the model too, so that the penalty has a say in them.
+
 How it scales: the fit sees at most ``FIT_ROWS`` rows a label (the bound, a parameter), chosen by a hash over
 all labelled rows and weighted back to the labels' true shares; feature counts are summed on the cluster; what
 reaches the driver is bounded by ``FIT_ROWS`` and ``FEATURES``. Scoring is one pass over whole texts without a
@@ -13,7 +18,7 @@ shuffle.
 
 Defined results: a null or empty text scores the share of toxic labels, adjusted by the fit; a null id counts as the empty string for the
 split; labels other than 0 and 1 and labels without a document are not used, of several labels of one id the
-largest counts; without labels of both kinds every score is 0; repeated rows are scored each; an empty table
+largest counts; of texts that share an id one is fitted; without labels of both kinds every score is 0; repeated rows are scored each; an empty table
 gives no rows; further columns are ignored (:func:`with_score` keeps them).
 """
 
@@ -28,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 FIT_ROWS = 6_144
 FEATURES = 4_096
@@ -39,6 +44,12 @@ PENALTY = 4.0
 RIDGE = 2e-4
 THRESHOLD = 0.7
 MEMO = 400_000
+#: Derived terms: rows of either label that hold one, how many, the frequent words that make contexts, their likeness.
+LEAST_MENTIONS = 8
+TERMS = 256
+CONTEXTS = 96
+LIKE_CONTEXTS = 0.7
+LEAST_MILD_RATIO = 1.5
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s*")
 #: Terms that name groups of people, by list; a term is swapped within its list.
@@ -84,6 +95,9 @@ def swapped(text: str, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, turns
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -np.inf
+    #: The term lists that were swapped, and how many swapped documents differ in their features.
+    terms: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    pairs: int = 0
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def logit(self, text: str | None) -> float:
@@ -134,8 +148,54 @@ def solve(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, pairs:
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, penalty: float = PENALTY, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS) -> Model:
-    """``may_learn``: a condition on ``doc_id``, which labelled rows may be learnt from."""
+def alike(terms: list[str], profile: np.ndarray, least: float = LIKE_CONTEXTS) -> dict[str, tuple[str, ...]]:
+    """Lists of terms whose context profiles (a row each) have a cosine of at least ``least`` with the list's first."""
+    unit = np.sqrt(profile / np.maximum(profile.sum(axis=1, keepdims=True), 1))
+    left, out = list(range(len(terms))), {}
+    while left:
+        like = unit[left] @ unit[left[0]]
+        own = [i for i, x in zip(left, like) if x >= least or i == left[0]]
+        if len(own) > 1:
+            out[f"like {terms[own[0]]}"] = tuple(terms[i] for i in own)
+        left = [i for i in left if i not in set(own)]
+    return out
+
+
+def derived_terms(rows: DataFrame, counts: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Lists of like terms of the labelled ``rows``; ``counts``: (feature, a, b), the rows of either label.
+
+    The driver sees ``TERMS`` words and their counts in ``2 * CONTEXTS`` contexts.
+    """
+    whole = counts.where(F.startswith("feature", F.lit("=")))
+    both = F.least("a", "b")
+    terms = [r[0][1:] for r in whole.where(both >= LEAST_MENTIONS).orderBy(F.desc(both), "feature").limit(TERMS).select("feature").collect()]
+    frequent = [r[0][1:] for r in whole.orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(CONTEXTS).select("feature").collect()]
+    at, place = {t: i for i, t in enumerate(terms)}, {w: i for i, w in enumerate(frequent)}
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((len(at), 2 * len(place)), dtype=np.int64)
+        for b in batches:
+            for text in b.text:
+                for sentence in SENTENCE.split(text.lower()):
+                    own = WORD.findall(sentence)
+                    for w, before, after in zip(own, ["", *own], [*own[1:], ""]):
+                        if (i := at.get(w)) is not None:
+                            if before in place:
+                                seen[i, place[before]] += 1
+                            if after in place:
+                                seen[i, len(place) + place[after]] += 1
+        i, j = np.nonzero(seen)
+        yield pd.DataFrame({"i": i, "j": j, "n": seen[i, j]})
+
+    profile = np.zeros((len(at), 2 * len(place)))
+    if at:
+        sums = rows.select("text").mapInPandas(contexts, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+        profile[sums.i, sums.j] = sums.n
+    return alike(terms, profile)
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, penalty: float = PENALTY, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, derive: bool = True) -> Model:
+    """``may_learn``: a condition on ``doc_id``, which labelled rows may be learnt from; ``derive``: add derived terms."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     if may_learn is not None:
@@ -148,7 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     picked = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(fit_rows) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * fit_rows rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.join(sample, "doc_id").where("text is not null"), "tox-rows")
+    # A repeated id is one row of its label, whichever text is first: the bound holds however often it is repeated.
+    found = texts.join(sample, "doc_id").where("text is not null")
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+    rows = cut(found.select("doc_id", F.col("first.text").alias("text"), "label"), "tox-rows")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,6 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     if not n0 or not n1:
         return Model()
     counts = rows.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    counts = cut(counts.where((F.col("b") >= LEAST_TOXIC_ROWS) | (F.col("a") >= LEAST_MENTIONS)), "tox-counts")
+    if derive:
+        known_terms = {t for group in terms.values() for t in group}
+        own = {name: tuple(t for t in group if t not in known_terms) for name, group in derived_terms(rows, counts).items()}
+        terms = terms | {name: group for name, group in own.items() if len(group) > 1}
 
     def term(k: Column, expected: Column) -> Column:
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
@@ -176,6 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     risk = (F.col("b") / n1) / ((F.col("a") + 0.5) / n0)
     chosen = counts.where((F.col("b") >= LEAST_TOXIC_ROWS) & (risk >= LEAST_RISK_RATIO)).withColumn("g", ratio).where(F.col("g") >= LEAST_LIKELIHOOD_RATIO)
     names = [r[0] for r in chosen.orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature").collect()]
+    named = [f"={t}" for group in terms.values() for t in group]
+    mild = counts.where(F.col("feature").isin(named) & (F.col("b") >= LEAST_TOXIC_ROWS) & (risk >= LEAST_MILD_RATIO))
+    names += sorted({r[0] for r in mild.select("feature").collect()} - set(names))
     index = {f: i for i, f in enumerate(names)}
 
     def features(text: str) -> list[int]:
@@ -193,7 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_
     weight = np.where(label == 1, totals[1] / n1, totals[0] / n0)
     pairs = [(i, np.asarray(o, dtype=int)) for i, others in enumerate(few.others) for o in others]
     w, bias = solve(ids, label, weight / weight.mean(), pairs, len(names), penalty)
-    return Model(dict(zip(names, w.tolist())), bias)
+    for done in (rows, counts):
+        discard(done)
+    return Model(dict(zip(names, w.tolist())), bias, terms, sum(not np.array_equal(ids[i], o) for i, o in pairs))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -202,6 +202,44 @@ def test_counterfactual_penalty_frees_identity_terms():
     assert toxicity.swapped("Nobody here.") == []
 
 
+def test_penalty_through_fit_spares_neutral_mentions(spark):
+    """Groups that toxic rows name often: without the penalty naming one makes a neutral text toxic, with it not."""
+    rng = np.random.default_rng(4)
+    groups, insults = ["melvans", "tarkins", "ordals", "quenish", "brodians", "zhelu", "iskari", "upanes"], [hashlib.md5(b"%d" % i).hexdigest() for i in range(5)]
+
+    def text(*named):
+        words = [f"w{x}" for x in rng.integers(0, 300, 40)]
+        for w in named:
+            words.insert(int(rng.integers(0, len(words))), w)
+        return " ".join(words) + "."
+
+    # Half of the toxic rows insult in words that no other row has.
+    rows = [(text("melvans", insults[i // 2 % 5] if i % 2 else f"{rng.integers(1 << 62):x}"), 1) for i in range(200)]
+    rows += [(text(groups[i % 8]), 0) for i in range(80)] + [(text(), 0) for _ in range(160)]
+    data = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    neutral, insulting = [text("melvans") for _ in range(60)], [text("ordals", insults[i % 5]) for i in range(60)]
+    terms, wrong, caught = {"own": tuple(groups)}, {}, {}
+    for penalty in (0.0, 4.0):
+        model = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), penalty=penalty, terms=terms, derive=False)
+        assert model.pairs > 100
+        wrong[penalty] = sum(model.score(t) >= 0.5 for t in neutral)
+        caught[penalty] = sum(model.score(t) >= 0.5 for t in insulting)
+    assert wrong[0.0] > 50 and wrong[4.0] < 5 and caught[4.0] > 50
+
+
+def test_terms_are_derived_and_swapped_on_whole_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), toxicity.third() != 1)
+    own = [group for name, group in model.terms.items() if name.startswith("like ")]
+    print(len(own), sum(map(len, own)), model.pairs)
+    assert own and model.pairs > 0
+
+
+def test_like_terms_share_contexts():
+    profile = np.array([[9, 1, 0, 0], [0, 0, 5, 5], [8, 2, 0, 0], [0, 0, 6, 4], [5, 5, 5, 5.0]])
+    assert toxicity.alike(["a", "b", "c", "d", "e"], profile, 0.9) == {"like a": ("a", "c"), "like b": ("b", "d")}
+
+
 def test_word_model_and_tree(docs, texts):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + ["\n"]
