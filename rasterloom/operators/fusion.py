@@ -58,10 +58,12 @@ def _covered(r: Raster, rects: DataFrame | None) -> DataFrame:
 
 def _on_grid(r: Raster, found: DataFrame, cols: tuple[str, ...]) -> Raster:
     """``found`` on the full grid, 0 where no frame covers."""
-    grid = r.df.select("y", "x").distinct()
     rest = tuple(k for k in r.keys if k != "frame_idx")
-    if rest:
-        grid = r.df.select(*rest, "y", "x").distinct()
+    spark = r.df.sparkSession
+    # The rest's keys, without a pass over pixels where there are none, times the grid.
+    lines = r.df.select(*rest).distinct() if rest else spark.range(1).select()
+    lines = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(r.h - 1))).alias("y"))
+    grid = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(r.w - 1))).alias("x"))
     full = grid.join(found, [*rest, "y", "x"], "left")
     return Raster(full.select(*rest, "y", "x", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]), rest, r.w, r.h, cols)
 
@@ -70,13 +72,21 @@ def select_level(r: Raster, radius: int, rects: DataFrame | None = None) -> Rast
     """Per pixel the samples of the covering frame of the greatest salience; ties to the earliest frame."""
     s = salience(r, radius)
     both = r.df.join(s.df, r.at)
-    inside = _covered(r.having(both, (*r.cols, "s")), rects)
+    inside = _covered(r.having(both, (*r.cols, "s")), rects).where(~F.isnan(F.col("s").cast("double")))  # NaN never wins
     rest = [k for k in r.keys if k != "frame_idx"]
     key = F.struct(F.col("s").alias("s"), (-F.col("frame_idx")).alias("f"), *[F.col(c).cast("double").alias(c) for c in r.cols])
     best = inside.groupBy(*rest, "y", "x").agg(F.max(key).alias("m")).where("m.s > -1")
     return _on_grid(r, best.select(*rest, "y", "x", *[F.col(f"m.{c}").alias(c) for c in r.cols]), r.cols)
 
 
+def require_same_frames(r: Raster, weights: Raster, frame: str = "frame_idx") -> None:
+    """Every frame must have a weight plane and every plane a frame; counts rows a frame, one job."""
+    both = r.df.groupBy(frame).count().join(weights.df.groupBy(frame).agg(F.count(F.lit(1)).alias("planes")), frame, "full")
+    odd = both.where(F.col("count").isNull() | F.col("planes").isNull() | (F.col("count") != F.col("planes"))).first()
+    if odd:
+        raise ValueError(f"frame {odd[frame]}: {odd['count'] or 0} pixels, {odd['planes'] or 0} weights")
+
+
 def accumulate(r: Raster, weights: Raster, rects: DataFrame | None = None) -> Raster:
     """Sums of weight times sample and of weights over the covering frames; a partial aggregate, so it streams."""
     both = r.df.join(weights.df.select(*weights.at, F.col(weights.cols[0]).alias("_w")), r.at)

@@ -68,6 +68,20 @@ def row_errors(a: Raster, b: Raster, col: str) -> DataFrame:
     return both.groupBy(*a.keys, "y").agg(F.avg(F.abs(F.col("_a") - F.col("_b")).cast("double")).alias("mae"))
 
 
+def row_error_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, upper median and worst of row errors (y, mae), and the worst over the median."""
+    middle = at_rank(rows, keys, "mae", {"median": 0.5})
+    ends = rows.groupBy(*keys).agg(F.avg("mae").alias("mean"), F.max("mae").alias("worst"))
+    return ends.join(middle, keys).withColumn("ratio", F.try_divide("worst", "median"))
+
+
+def weighted_mean(r: Raster, weights: Raster, col: str, weight: str = "w", frame: str = "frame_idx") -> DataFrame:
+    """Per pixel the sum over frames of weight times value: fusing without a pyramid, as a control."""
+    rest = [k for k in r.keys if k != frame]
+    both = r.df.select(*r.at, col).join(weights.df.select(*weights.at, F.col(weight).alias("_w")), r.at)
+    return both.groupBy(*rest, "y", "x").agg(F.sum(F.col("_w") * F.col(col)).alias(col))
+
+
 def chroma(r: Raster) -> DataFrame:
     """A frame's population deviation of Cb and Cr and its mean brightness (fixed BT.601 weights)."""
     y = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
@@ -96,5 +110,5 @@ def effective_frames(noise: Column, fused: Column) -> Column:
 
 def checksum(r: Raster) -> DataFrame:
     """A digest of all samples that does not depend on row order."""
-    h = F.xxhash64(*r.at, *r.cols)
-    return r.df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum((h.bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")).alias("s"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in (*r.at, *r.cols)])), 1, 15), 16, 10).cast("long")
+    return r.df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))

@@ -400,6 +400,23 @@ def row_mae_top8(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("mae"), *a.keys, "y").limit(8)
 
 
+@query(S.with_(("v", S.VEC), ("sm", S.box_sum("v", SF, "v", S.VEC_AT, 1)), ("m", """SELECT v.stack, v.frame_idx, v.y, avg(abs(v.v - s.v)) AS mae
+FROM v JOIN sm s ON s.stack = v.stack AND s.frame_idx = v.frame_idx AND s.y = v.y AND s.x = v.x GROUP BY 1, 2, 3"""), then="""SELECT stack, frame_idx, round(avg(mae), 6) AS mean, round(max(mae), 6) AS worst,
+  round(max(mae) FILTER (WHERE rn = n // 2), 6) AS median, round(max(mae) / max(mae) FILTER (WHERE rn = n // 2), 6) AS ratio
+FROM (SELECT *, row_number() OVER (PARTITION BY stack, frame_idx ORDER BY mae) - 1 AS rn, count(*) OVER (PARTITION BY stack, frame_idx) AS n FROM m) GROUP BY 1, 2"""))
+def row_error_summary(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _first_and_smooth(spark, sf)
+    out = metrics.row_error_summary(metrics.row_errors(a, b, "v"), list(a.keys))
+    return out.select(*a.keys, *[F.round(c, 6).alias(c) for c in ("mean", "worst", "median", "ratio")])
+
+
+@query(S.with_(*HOT_W[:3], then=f"SELECT e.y, e.x, round(sum(w.w * ({LUMA})) / {WHITE}::DOUBLE, 6) AS l FROM e JOIN w ON w.frame_idx = e.frame_idx AND w.y = e.y AND w.x = e.x GROUP BY 1, 2"))
+def weighted_luma(spark: SparkSession, sf: str) -> DataFrame:
+    r = event_frames(spark, sf)
+    out = metrics.weighted_mean(event_luma(r), event_weights(r), "l")
+    return out.select("y", "x", F.round(F.col("l") / WHITE, 6).alias("l"))
+
+
 CHROMA = """SELECT frame_idx, stddev_pop(0.564::DOUBLE * (b - l)) AS sd_cb, stddev_pop(0.713::DOUBLE * (r - l)) AS sd_cr, avg(l) AS mean_y FROM (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM e) GROUP BY frame_idx"""
 
 
@@ -411,10 +428,10 @@ def chroma_sd(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("frame_idx", *[F.round(n, 3).alias(n) for n in ("sd_cb", "sd_cr", "mean_y")], "nearest")
 
 
-@query(S.with_(("e", S.EVT), then="""SELECT frame_idx, CAST(max(g) FILTER (WHERE rn = floor(n * 0.01)) AS BIGINT) AS p1, CAST(max(g) FILTER (WHERE rn = floor(n * 0.5)) AS BIGINT) AS p50, CAST(max(g) FILTER (WHERE rn = floor(n * 0.99)) AS BIGINT) AS p99
-FROM (SELECT frame_idx, g, row_number() OVER (PARTITION BY frame_idx ORDER BY g) - 1 AS rn, count(*) OVER (PARTITION BY frame_idx) AS n FROM e) GROUP BY frame_idx"""))
+@query(S.with_(("e", S.EVT), then="""SELECT *, p99 - p1 AS contrast FROM (SELECT frame_idx, CAST(max(g) FILTER (WHERE rn = floor(n * 0.01)) AS BIGINT) AS p1, CAST(max(g) FILTER (WHERE rn = floor(n * 0.5)) AS BIGINT) AS p50, CAST(max(g) FILTER (WHERE rn = floor(n * 0.99)) AS BIGINT) AS p99
+FROM (SELECT frame_idx, g, row_number() OVER (PARTITION BY frame_idx ORDER BY g) - 1 AS rn, count(*) OVER (PARTITION BY frame_idx) AS n FROM e) GROUP BY frame_idx)"""))
 def luma_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.at_rank(event_frames(spark, sf).df, ["frame_idx"], "g", {"p1": 0.01, "p50": 0.5, "p99": 0.99})
+    return metrics.at_rank(event_frames(spark, sf).df, ["frame_idx"], "g", {"p1": 0.01, "p50": 0.5, "p99": 0.99}).withColumn("contrast", F.col("p99") - F.col("p1"))
 
 
 @query(S.with_(("v", S.VEC), ("sm", S.box_sum("v", SF, "v", S.VEC_AT, 1)), then="""SELECT r.stack, CAST(sum(CASE WHEN r.v > e.hi THEN 1 ELSE 0 END) AS BIGINT) AS above, CAST(sum(CASE WHEN r.v < e.lo THEN 1 ELSE 0 END) AS BIGINT) AS below
@@ -430,21 +447,40 @@ def debug_plane(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pipeline.display_plane(embedding_frames(spark, sf), "v"))
 
 
-@query(S.with_(("v", S.VEC), then="SELECT stack, frame_idx, round(avg(v), 6) AS mean FROM v WHERE frame_idx IN (0, 10, 20) GROUP BY 1, 2"))
+@query(S.with_(("v", S.VEC), ("n", "SELECT stack, max(frame_idx) + 1 AS n FROM v GROUP BY 1"),
+    then="SELECT v.stack, v.frame_idx, round(avg(v.v), 6) AS mean FROM v JOIN n ON n.stack = v.stack WHERE v.frame_idx IN (0, n.n // 2, n.n - 1) GROUP BY 1, 2"))
 def sampled_frame_means(spark: SparkSession, sf: str) -> DataFrame:
     r = embedding_frames(spark, sf)
-    return pipeline.sampled(r.df, 21).groupBy(*r.keys).agg(F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 6).alias("mean"))
+    return pipeline.sampled_of_each(r.df, "stack").groupBy(*r.keys).agg(F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 6).alias("mean"))
+
+
+SWEEP = ((1, 1e-4), (1, 1e-1), (2, 1e-4), (2, 1e-1))
 
 
-@query(S.with_(("v", S.VEC), *[(f"b{k}", S.box_sum("v", SF, "v", S.VEC_AT, k)) for k in (1, 2, 3)],
-    then=" UNION ALL ".join(f"SELECT {k} AS radius, stack, round(avg(CAST(v AS DOUBLE) * {e}), 3) AS mean, {e}::DOUBLE AS epsilon FROM b{k} GROUP BY stack" for k in (1, 2, 3) for e in (0.5, 0.25))))
+def _sweep_sql() -> str:
+    steps = [*HOT[:3], ("gr", """SELECT frame_idx, y, x, coalesce(gx * gx + gy * gy, 0) AS grad FROM (SELECT *, lead(i) OVER a - lag(i) OVER a AS gx, lead(i) OVER b - lag(i) OVER b AS gy
+  FROM h WINDOW a AS (PARTITION BY frame_idx, y ORDER BY x), b AS (PARTITION BY frame_idx, x ORDER BY y))""")]
+    steps.append(("ct", "SELECT frame_idx, max(grad) FILTER (WHERE rn = floor(n * 0.98)) AS hi, max(grad) FILTER (WHERE rn = floor(n * 0.5)) AS lo FROM (SELECT frame_idx, grad, row_number() OVER (PARTITION BY frame_idx ORDER BY grad) - 1 AS rn, count(*) OVER (PARTITION BY frame_idx) AS n FROM gr) GROUP BY frame_idx"))
+    out = []
+    for k, (radius, epsilon) in enumerate(SWEEP):
+        steps.append((f"mo{k}", S.box_mean("(SELECT *, i * p AS ip, i * i AS ii FROM h)", "frame_idx", "i, p, ip, ii", S.EVT_AT, radius)))
+        steps.append((f"ab{k}", f"SELECT frame_idx, y, x, a, p - a * i AS b FROM (SELECT *, (ip - i * p) / (ii - i * i + {epsilon}) AS a FROM mo{k})"))
+        steps.append((f"me{k}", S.box_mean(f"ab{k}", "frame_idx", "a, b", S.EVT_AT, radius)))
+        out.append(f"""SELECT {radius} AS radius, {epsilon}::DOUBLE AS epsilon, h.frame_idx, round(avg(greatest(m.a * h.i + m.b, 0)) FILTER (WHERE g.grad >= c.hi), 6) AS detail, round(avg(greatest(m.a * h.i + m.b, 0)) FILTER (WHERE g.grad <= c.lo), 6) AS bokeh
+FROM h JOIN me{k} m ON m.frame_idx = h.frame_idx AND m.y = h.y AND m.x = h.x JOIN gr g ON g.frame_idx = h.frame_idx AND g.y = h.y AND g.x = h.x JOIN ct c ON c.frame_idx = h.frame_idx GROUP BY h.frame_idx""")
+    return S.with_(*steps, then=" UNION ALL ".join(out))
+
+
+@query(_sweep_sql())
 def param_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    r = embedding_frames(spark, sf)
-    epsilons = spark.createDataFrame([(0.5,), (0.25,)], "epsilon double")  # two parameters, crossed with every radius
+    """The guided filter at each radius and epsilon: mean weight on a frame's strong edges and in its flat half."""
+    r = event_mask(event_frames(spark, sf))
+    masks = metrics.gradient_masks(r, "i")
     out = None
-    for radius in (1, 2, 3):
-        one = stencil.box_sum(r, radius).df.crossJoin(F.broadcast(epsilons)).groupBy("stack", "epsilon").agg(F.round(F.avg(F.col("v").cast("double") * F.col("epsilon")), 3).alias("mean"))
-        one = one.select(F.lit(radius).alias("radius"), "stack", "mean", "epsilon")
+    for radius, epsilon in SWEEP:
+        q = weights.refine(r, "i", "p", radius, epsilon)
+        one = metrics.masked_energy(masks, q.df, r.at, list(r.keys), "w")
+        one = one.select(F.lit(radius).alias("radius"), F.lit(epsilon).alias("epsilon"), "frame_idx", F.round("detail", 6).alias("detail"), F.round("bokeh", 6).alias("bokeh"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -463,7 +499,7 @@ def memory_limit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(g, control.memory_limit(g << 30)) for g in (8, 18, 36, 64, 128)], "gib int, limit_bytes long")
 
 
-# Array kernels: no SQL form, so rows only here and brute force in the tests.
+# The checksum, and array kernels: those have no SQL form, so rows only here and brute force in the tests.
 
 
 @query()
@@ -471,12 +507,18 @@ def phase_correlate(spark: SparkSession, sf: str) -> DataFrame:
     return registration.correlate(registration.texture_pairs(spark))
 
 
+@query()
+def region_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return registration.spreads(registration.texture_pairs(spark, scales=(1.0, 1.03)))
+
+
 @query()
 def similarity_register(spark: SparkSession, sf: str) -> DataFrame:
     return registration.register(registration.texture_pairs(spark, scales=(1.0, 1.02, 0.97)))
 
 
-@query()
+@query(S.with_(("v", S.VEC), ("h", "SELECT CAST('0x' || substr(md5(concat_ws(',', stack, frame_idx, y, x, v)), 1, 15) AS BIGINT) AS h FROM v"),
+    then="SELECT count(*) AS n, bit_xor(h) AS x, CAST(sum(h & 4294967295) AS BIGINT) AS s FROM h"))
 def frame_checksum(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.checksum(embedding_frames(spark, sf))
 

@@ -93,3 +93,10 @@ def display_plane(r: Raster, col: str) -> Raster:
 def sampled(frames: DataFrame, n: int) -> DataFrame:
     """The first, middle and last frame."""
     return frames.where(F.col("frame_idx").isin(sorted({0, n // 2, n - 1})))
+
+
+def sampled_of_each(frames: DataFrame, stack: str) -> DataFrame:
+    """The first, middle and last frame of each stack, by the stack's own number of frames."""
+    n = frames.groupBy(stack).agg((F.max("frame_idx") + 1).alias("_n"))  # a row a stack
+    k = F.col("frame_idx")
+    return frames.join(n, stack).where((k == 0) | (k == F.expr("_n div 2")) | (k == F.col("_n") - 1)).drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, replace
@@ -42,6 +43,8 @@ def materialised(r: Raster) -> Raster:
     spark = r.df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="rasterloom-"))
         folder = _OWN_DIR[0]
@@ -50,12 +53,19 @@ def materialised(r: Raster) -> Raster:
     return r.having(spark.read.schema(r.df.schema).parquet(path))
 
 
+#: Vector ids that are ranked together.
+RANGE = 65_536
+
+
 def embedding_frames(spark: SparkSession, sf_dir: str) -> Raster:
     """Vectors as 8 x 8 frames: a stack a label, frames by vector id, samples in ten-thousandths."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    frames = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("label").cast("int").alias("stack"), (F.row_number().over(order) - 1).cast("int").alias("frame_idx"), "embedding"
-    )
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("int").alias("stack"), "vec_id", "embedding")
+    # Ids in ranges of RANGE: a range of a label is ranked by itself, and its first rank is the sum of those before.
+    ranged = vectors.withColumn("part", F.floor(F.col("vec_id") / RANGE))
+    before = Window.partitionBy("stack").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("stack", "part").agg(F.count(F.lit(1)).alias("n")).select("stack", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("stack", "part").orderBy("vec_id")) - 1
+    frames = ranged.withColumn("rank", inside).join(firsts, ["stack", "part"]).select("stack", (F.col("first") + F.col("rank")).cast("int").alias("frame_idx"), "embedding")
     rows = frames.select("stack", "frame_idx", F.posexplode("embedding").alias("i", "e"))
     df = rows.select("stack", "frame_idx", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.round(F.col("e").cast("double") * 10000).cast("long").alias("v"))
     return Raster(df, ("stack", "frame_idx"), 8, 8, ("v",))

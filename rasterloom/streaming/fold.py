@@ -1,11 +1,14 @@
-"""Select and accumulate as mergeable folds over a stream of frames.
+"""Select as a mergeable fold over a stream of frames.
 
-A micro-batch is aggregated to one row a pixel and merged into the state table; states are numbered by epoch,
-so a batch that is run again after a failure replaces its own state instead of counting twice.
+A micro-batch is aggregated to one row a pixel and merged with the newest state of an earlier epoch, which the folder
+has, into the state of its own epoch. So a batch that is run again replaces its own state, and a query that is started
+again from its checkpoint goes on from what the folder has. States before the merged one are deleted.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +18,19 @@ class SelectFold:
 
     def __init__(self, spark: SparkSession, folder: str, cols: tuple[str, ...]):
         self.spark, self.folder, self.cols = spark, folder, cols
-        self.last: int | None = None
 
     def _path(self, epoch: int) -> str:
         return f"{self.folder}/epoch={epoch}"
 
+    def epochs(self) -> list[int]:
+        """Epochs whose state is whole, rising."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        found = sorted(int(n[6:]) for n in names if re.fullmatch(r"epoch=\d+", n))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [e for e in found if files.exists(path(f"{self._path(e)}/_SUCCESS"))]
+
     def best(self, pixels: DataFrame) -> DataFrame:
         key = F.struct(F.col("s").alias("s"), (-F.col("frame_idx")).alias("f"), *self.cols)
         m = pixels.where(~F.isnan(F.col("s").cast("double"))).groupBy("y", "x").agg(F.max(key).alias("m"))
@@ -28,13 +39,16 @@ class SelectFold:
     def merge(self, batch: DataFrame, epoch: int) -> None:
         """For ``foreachBatch``: rows of frame_idx, y, x, s and samples."""
         new = batch.select("y", "x", "s", "frame_idx", *self.cols)
-        if self.last is not None and self.last != epoch:
-            new = self.spark.read.parquet(self._path(self.last)).unionByName(new)
+        earlier = [e for e in self.epochs() if e < epoch]
+        if earlier:
+            new = self.spark.read.parquet(self._path(earlier[-1])).unionByName(new)
         self.best(new).write.mode("overwrite").parquet(self._path(epoch))
-        self.last = epoch
+        for e in earlier[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(e))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def result(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.last))
+        return self.spark.read.parquet(self._path(self.epochs()[-1]))
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,17 +78,22 @@ def test_guided_filter_keeps_constants(spark):
 
 
 def test_joint_channels_decide(spark):
-    rows = [(f, y, x, *(((0.4, 0.4, 0.4), (0.0, 0.0, 0.6))[f])) for f in (0, 1) for y in range(4) for x in range(4)]
+    rows = [(f, y, x, *(((0.5, 0.3, 0.45), (0.1, 0.0, 0.65))[f])) for f in (0, 1) for y in range(4) for x in range(4)]
     r = Raster(spark.createDataFrame(rows, "frame_idx int, y int, x int, r double, g double, b double"), ("frame_idx",), 4, 4, ("r", "g", "b"))
-    assert {(q.r, q.b) for q in fusion.select_level(r, 0).df.collect()} == {(0.4, 0.4)}
+    assert {(q.r, q.b) for q in fusion.select_level(r, 0).df.collect()} == {(0.5, 0.45)}
+    odd = r.having(r.df.withColumn("g", F.when((F.col("frame_idx") == 0) & (F.col("x") == 1), float("nan")).otherwise(F.col("g"))))
+    assert {(q.x, q.b) for q in fusion.select_level(odd, 0).df.collect()} == {(0, 0.45), (1, 0.65), (2, 0.45), (3, 0.45)}
+    with pytest.raises(ValueError, match="frame 1"):
+        fusion.require_same_frames(r, r.having(r.df.where("frame_idx = 0")))
+    fusion.require_same_frames(r, r)
     assert fusion.rule("blend", 3) == fusion.Blend() and fusion.rule("select", 3).salience_radius == 3
 
 
 def test_coverage_values(spark):
-    t = spark.createDataFrame([(0, 1.0569, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.0, 100.0, 0.0), (3, 1.0, 1e9, 0.0)], "frame_idx int, scale double, dx double, dy double")
-    got = {q.frame_idx: q for q in coverage.coverage(t, 8664, 5784).collect()}
-    assert 230 <= got[0].x0 <= 240 and (got[1].x0, got[1].y0, got[1].x1, got[1].y1) == (0, 0, 8664, 5784)
-    assert got[2].x1 == 8664 - 100 - 2 and got[3].x1 >= got[3].x0
+    t = spark.createDataFrame([(0, 1.08, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.0, 61.0, 0.0), (3, 1.0, 1e9, 0.0)], "frame_idx int, scale double, dx double, dy double")
+    got = {q.frame_idx: q for q in coverage.coverage(t, 5400, 3600).collect()}
+    assert 200 <= got[0].x0 <= 204 and (got[1].x0, got[1].y0, got[1].x1, got[1].y1) == (0, 0, 5400, 3600)
+    assert got[2].x1 == 5400 - 61 - 2 and got[3].x1 >= got[3].x0
     assert scalar.level_count(1200, 900, 32) == 5 and scalar.level_count(8664, 5784, 32) == 8 and scalar.level_count(40, 40, 32) == 1
 
 
@@ -113,7 +118,9 @@ def test_registration_recovers():
         got = registration.shift_between(a, registration.texture(128, 96, dx, dy))
         assert abs(got[0] - dx) < 0.2 and abs(got[1] - dy) < 0.2
     big = registration.texture(256, 256)
-    for s in (1.02, 0.97):
+    assert registration.region_spread(big, registration.texture(256, 256, 4.0, -3.0)) < 0.2
+    assert registration.region_spread(big, registration.texture(256, 256, scale=1.03)) > 1
+    for s in (1.025, 0.96):
         assert abs(registration.similarity_between(big, registration.texture(256, 256, scale=s))[0] - s) < 0.004
 
 
@@ -214,6 +221,12 @@ def test_select_fold_equals_batch(spark, tmp_path):
     for epoch in range(4):
         fold.merge(df.where(F.col("frame_idx") == epoch), epoch)
     assert sorted(fold.result().collect()) == sorted(fold.best(df).collect())
+    fold.merge(df.where("frame_idx = 3"), 3)  # run again after a failure
+    again = SelectFold(spark, str(tmp_path), ("v",))  # started again from the folder
+    assert sorted(again.result().collect()) == sorted(fold.best(df).collect())
+    more = df.withColumn("frame_idx", F.lit(9)).withColumn("s", F.col("s") + 0.5)
+    again.merge(more, 4)
+    assert sorted(again.result().collect()) == sorted(fold.best(df.unionByName(more)).collect()) and again.epochs() == [3, 4]
 
 
 def test_display_plane_and_samples(spark, noise):
