@@ -14,6 +14,7 @@ empty table gives no rows; further columns are kept by :func:`sniff` (``media``
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 Validator = Callable[[bytes, int], int]
 SAMPLE_WIDTH = 64
-#: Rows that a worker turns over at a time.
+#: Rows and bytes that a worker turns over at a time.
 ROWS = 256
+TURN = 4 << 20
 
 
 def _png(b: bytes, at: int) -> int:
@@ -148,11 +150,23 @@ def _gzip(b: bytes, at: int) -> int:
     return len(b) - at - len(engine.unused_data)
 
 
+@lru_cache(maxsize=1)
+def _pdf_ends(b: bytes) -> np.ndarray:
+    """Where end marks stand, found once a value, however many headers it has."""
+    return np.array([m.start() for m in re.finditer(b"%%EOF", b)], dtype=np.int64)
+
+
+def _next_end(b: bytes, at: int) -> int:
+    ends = _pdf_ends(b)
+    i = int(np.searchsorted(ends, at))
+    return int(ends[i]) if i < len(ends) else -1
+
+
 def _pdf(b: bytes, at: int) -> int:
     """A header with a version, a cross-reference start and the end mark."""
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return 0
-    end = b.find(b"%%EOF", at)
+    end = _next_end(b, at)
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 
 
@@ -194,10 +208,25 @@ def find_media(value: bytes | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _few(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Rows in turns of at most ROWS, whose values in ``column`` have about TURN bytes (or one row's)."""
     for b in batches:
-        for i in range(0, len(b), ROWS):
-            yield b.iloc[i : i + ROWS]
+        size = np.cumsum([len(v) if isinstance(v, (str, bytes, bytearray)) else 0 for v in b[column].array]) if len(b) else []
+        i = 0
+        while i < len(b):
+            before = size[i - 1] if i else 0
+            j = max(i + 1, min(i + ROWS, int(np.searchsorted(size, before + TURN, side="right"))))
+            yield b.iloc[i:j]
+            i = j
+
+
+def _sniffed(b: pd.DataFrame, content_col: str, declared_col: str) -> pd.DataFrame:
+    detected, media = [], []
+    for value in b[content_col].array:
+        found = find_media(value)
+        media.append([{"type": t, "start": s, "length": n, "bytes": value[s : s + n]} for t, s, n in found])
+        detected.append(found[0][0] if found and not found[0][1] else "unknown" if value else None)
+    return b.assign(detected=detected, media=media)
 
 
 def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "declared") -> DataFrame:
@@ -208,13 +237,8 @@ def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "decl
     schema += ", detected string, media array<struct<type:string,start:long,length:long,bytes:binary>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _few(batches):
-            detected, media = [], []
-            for value, declared in zip(b[content_col].array, b[declared_col].array):
-                found = find_media(value)
-                media.append([{"type": t, "start": s, "length": n, "bytes": value[s : s + n]} for t, s, n in found])
-                detected.append(found[0][0] if found and not found[0][1] else "unknown" if value else None)
-            yield b.assign(detected=detected, media=media)
+        for b in _few(batches, content_col):
+            yield _sniffed(b, content_col, declared_col)
 
     return df.mapInPandas(run, schema)
 
@@ -283,34 +307,54 @@ def store(text: str | None) -> tuple[int, str, bytes]:
     return len(raw), DECLARED[check // 8 % 3], note + STORES[check & 3][1](payload) + (b"" if check & 64 else b"end")
 
 
+def _stored(b: pd.DataFrame) -> pd.DataFrame:
+    got = [store(t if isinstance(t, str) else None) for t in b.text.array]
+    return pd.DataFrame({"doc_id": b.doc_id.astype("Int64").array, "n_bytes": [g[0] for g in got], "declared": [g[1] for g in got], "content": [g[2] for g in got]})
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, declared, content: every text as a media value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _few(batches):
-            got = [store(t if isinstance(t, str) else None) for t in b.text.array]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_bytes": [g[0] for g in got], "declared": [g[1] for g in got], "content": [g[2] for g in got]})
+        for b in _few(batches, "text"):
+            yield _stored(b)
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, n_bytes long, declared string, content binary")
+    return _texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_bytes long, declared string, content binary")
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digested(b: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for doc, n, declared, detected, media in zip(b.doc_id.array, b.n_bytes, b.declared, b.detected, b.media):
+        m = media[0]
+        payload = samples(m["type"], m["bytes"])
+        mean = float(np.frombuffer(payload, dtype=np.uint8).mean())
+        feature = f"{m['type']}@{m['start']}+{m['length']} declared={declared} detected={detected} media={len(media)} mean={mean:.6f}"
+        out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), m["length"], hashlib.sha256(m["bytes"]).hexdigest(), feature))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def read_back(stored: DataFrame) -> DataFrame:
     """The digests of each stored text's medium, computed from what :func:`sniff` carved."""
-    import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc, n, declared, detected, media in zip(b.doc_id.array, b.n_bytes, b.declared, b.detected, b.media):
-                m = media[0]
-                payload = samples(m["type"], m["bytes"])
-                mean = float(np.frombuffer(payload, dtype=np.uint8).mean())
-                feature = f"{m['type']}@{m['start']}+{m['length']} declared={declared} detected={detected} media={len(media)} mean={mean:.6f}"
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), m["length"], hashlib.sha256(m["bytes"]).hexdigest(), feature))
-            columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-
-    return stored.select("doc_id", "n_bytes", "declared", "detected", "media").mapInPandas(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+            yield _digested(b)
+
+    return stored.select("doc_id", "n_bytes", "declared", "detected", "media").mapInPandas(run, DIGESTS)
+
+
+def digest_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``read_back(sniff(store_texts(docs)))`` in one pass: no medium leaves its worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _few(batches, "text"):
+            yield _digested(_sniffed(_stored(b), "content", "declared"))
+
+    return _texts(docs, id_col, text_col).mapInPandas(run, DIGESTS)

@@ -44,7 +44,7 @@ def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.sniff(media.store_texts(table(spark, sf_dir, "documents"))))
+    return media.digest_texts(table(spark, sf_dir, "documents"))
 
 
 SAYS = "</s>[INST] ok [/INST]"
