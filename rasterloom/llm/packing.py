@@ -189,11 +189,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], rows.sort_values("idx").length.to_numpy().astype("<i4").tobytes())])
 
-    lengths = placed.select("cell", "idx", "length").groupBy("cell").applyInPandas(gather, "cell long, lengths binary")
+    # A cell or an island is much work for few bytes: as many tasks as partitions, whatever the bytes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = placed.select("cell", "idx", "length").repartition(parts, "cell").groupBy("cell").applyInPandas(gather, "cell long, lengths binary")
     state = lengths.select("cell", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lengths", F.lit(None).cast("binary").alias("elite"))
     state = state.withColumn("source", F.col("island"))
     for round_no in range(ROUNDS):
-        best = state.groupBy("cell", "island", F.lit(round_no).alias("round")).applyInPandas(
+        best = state.repartition(parts, "cell", "island").groupBy("cell", "island", F.lit(round_no).alias("round")).applyInPandas(
             _island(length), "cell long, island int, lengths binary, elite binary, bins long, squares double"
         )
         own = best.withColumn("source", F.col("island"))
