@@ -331,6 +331,62 @@ def test_token_attribution(docs, texts):
         assert "".join(text[r.char_start : r.char_end] for r in rows) == text
 
 
+def test_token_attribution_against_direct_overlap(docs, texts):
+    """Every token's characters are held against every section of its document, by the stated rule."""
+    encoder, few = tokens.Encoder(), sorted(texts)[:40]
+    got = {}
+    for r in attribution.token_counts(docs.where(F.col("doc_id").isin(few))).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for doc in few:
+        rows = sorted(got[doc], key=lambda r: r.section)
+        want, crossing, at = [0] * len(rows), [0] * len(rows), 0
+        byte_char = [i for i, c in enumerate(texts[doc]) for _ in c.encode()]
+        lengths = encoder.byte_lengths()
+        for token in encoder.ids(texts[doc]):
+            chars = byte_char[at : at + int(lengths[token])]
+            at += int(lengths[token])
+            start, end = chars[0], chars[-1] + 1
+            overlap = [max(0, min(end, r.char_end) - max(start, r.char_start)) for r in rows]
+            own = overlap.index(max(overlap))
+            want[own] += 1
+            crossing[own] += sum(x > 0 for x in overlap) > 1
+        assert [r.n_tokens for r in rows] == want and [r.n_crossing for r in rows] == crossing
+
+
+def test_media_digests_in_one_pass(docs, texts):
+    one = {r.doc_id: r for r in media.digest_texts(docs).collect()}
+    assert one == {r.doc_id: r for r in media.read_back(media.sniff(media.store_texts(docs))).collect()}
+    for doc, r in one.items():
+        size, declared, value = media.store(texts[doc])
+        (kind, start, length), *more = media.find_media(value)
+        assert (r.n_bytes, r.media_bytes, r.media_sha256) == (size, length, hashlib.sha256(value[start : start + length]).hexdigest())
+        mean = np.frombuffer(media.samples(kind, value[start : start + length]), dtype=np.uint8).mean()
+        detected = "unknown" if start else kind
+        assert r.feature == f"{kind}@{start}+{length} declared={declared} detected={detected} media={1 + len(more)} mean={mean:.6f}"
+
+
+def test_crossover_wins_where_best_fit_does_not():
+    """Bins that fit exactly in one way only: best fit over falling lengths leaves more bins than the search."""
+    wins = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        lengths = []
+        for _ in range(40):
+            cuts = np.sort(rng.choice(np.arange(200, 1_850), 2, replace=False))
+            lengths += np.diff([0, *cuts, 2_048]).tolist()
+        lengths = np.array(lengths)
+        seed_bins = -packing.fitness(packing.shaken(lengths, 2_048, rng, 0.0), lengths, 2_048)[0]
+        best, elites = None, [None] * packing.ISLANDS
+        for round_no in range(packing.ROUNDS):
+            new = [packing.evolve(lengths, [e for e in (elites[i], elites[i - 1]) if e is not None], round_no * packing.ISLANDS + i) for i in range(packing.ISLANDS)]
+            elites = new
+        best = max((packing.fitness(e, lengths, 2_048) for e in elites))
+        fill = [np.bincount(e, weights=lengths).max() for e in elites]
+        assert max(fill) <= 2_048 and -best[0] <= seed_bins
+        wins += -best[0] < seed_bins or best[1] > packing.fitness(packing.shaken(lengths, 2_048, rng, 0.0), lengths, 2_048)[1]
+    assert wins >= 3
+
+
 def test_boundary_rule():
     starts, ends = np.array([0, 2, 6]), np.array([2, 6, 8])
     assert attribution.allocate(starts, ends, np.array([0, 3, 8]))[0].tolist() == [0, 1, 1]
