@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import coverage as cov
-from ..operators import fusion, metrics, registration, stencil, weights
+from ..operators import bands, fusion, metrics, registration, stencil, weights
 from ..sources import discovery
 from ..sources.rasters import Raster, dyadic_transforms, embedding_frames, event_frames
-from . import control, pipeline
+from . import control, pipeline, stacking
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,8 +338,11 @@ def _fused(kind: str) -> str:
 
 
 def _fuse(spark: SparkSession, sf: str, how) -> DataFrame:
+    """On rows of pixels as arrays; tests hold it to the pixel layout."""
     r = event_frames(spark, sf)
-    return shares(fusion.fuse(r, event_weights(r), dyadic_transforms(spark), how, floor=4))
+    planes = bands.from_pixels(event_weights(r).df, ("w",), r.w, r.h).df
+    fused = bands.fuse(bands.from_pixels(r.df, r.cols, r.w, r.h), planes, dyadic_transforms(spark), 5, how, floor=4)
+    return shares(Raster(bands.to_pixels(fused, r.cols), (), r.w, r.h, r.cols))
 
 
 @query(_fused("blend"))
@@ -525,4 +528,6 @@ def frame_checksum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuse_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.fuse_stack(event_frames(spark, sf), pipeline.small_params(), 5)
+    r = event_frames(spark, sf)
+    lines = stacking.fuse_lines(bands.from_pixels(r.df, r.cols, r.w, r.h), 5, pipeline.small_params(), control.RunControl(spark))
+    return bands.to_pixels(lines, r.cols)

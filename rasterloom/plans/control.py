@@ -95,6 +95,13 @@ class RunControl:
             context.setJobDescription(None)
 
 
+    def progress(self) -> tuple[int, int]:
+        """Tasks done and tasks in all of the stages that run now."""
+        tracker = self.spark.sparkContext.statusTracker()
+        found = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+        return sum(s.numCompletedTasks for s in found if s), sum(s.numTasks for s in found if s)
+
+
 def clock(seconds: float) -> str:
     return f"{int(seconds) // 60:02d}:{int(seconds) % 60:02d}"
 

@@ -35,12 +35,12 @@ class Raster:
 _OWN_DIR: list[str] = []
 
 
-def materialised(r: Raster) -> Raster:
-    """The raster as a table in the shared scratch folder: what reads it has a short lineage.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: what reads it has a short lineage.
 
     The folder is the one that spark.checkpoint.dir names; a temporary one only where that is unset.
     """
-    spark = r.df.sparkSession
+    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
@@ -48,9 +48,13 @@ def materialised(r: Raster) -> Raster:
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="rasterloom-"))
         folder = _OWN_DIR[0]
-    path = f"{folder}/rasters/{uuid.uuid4().hex}"
-    r.df.write.parquet(path)
-    return r.having(spark.read.schema(r.df.schema).parquet(path))
+    path = f"{folder}/rasters/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialised(r: Raster) -> Raster:
+    return r.having(stored(r.df))
 
 
 #: Vector ids that are ranked together.

@@ -6,8 +6,11 @@ import os
 import shutil
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quantize16
@@ -81,6 +84,24 @@ def write_fused(r: Raster, path: str) -> None:
     os.replace(half, path)
 
 
+def write_lines(lines: DataFrame, w: int, h: int, path: str) -> None:
+    """Lines (y, data) of linear light as a 16-bit TIFF; encoded in tasks, a line at a time comes to the driver, in order."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d in b.data:
+                v = np.clip(np.nan_to_num(np.asarray(d, dtype=np.float64), nan=0.0), 0, 1)
+                v = np.where(v <= 0.0031308, v * 12.92, 1.055 * v ** (1 / 2.4) - 0.055)
+                out.append(np.floor(np.clip(v, 0, 1) * 65535 + 0.5).astype("<u2").tobytes())
+            yield pd.DataFrame({"y": b.y, "data": out})
+
+    rows = lines.select("y", "data").mapInPandas(encode, "y int, data binary").orderBy("y")
+    half = f"{path}.part"
+    tiff.write(half, w, h, (np.frombuffer(row.data, dtype="<u2").reshape(w, 3) for row in rows.toLocalIterator()), srgb_profile())
+    os.replace(half, path)
+
+
 def export(result: str, target: str) -> None:
     """Rename, or copy and delete where that is another volume."""
     try:
