@@ -47,7 +47,7 @@ LEAST_CONTEXT = 4
 GAIN = 0.5
 WORDS = 1 << 20
 BATCH_BYTES = 1 << 19
-HELD_STRINGS = 2 << 20
+HELD_STRINGS = 1 << 20
 #: Counts from here on are one bar of the histogram from which the least count of the broadcast strings is read.
 BARS = 4_096
 #: Buckets of keys for each partition of the input.
