@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rasterloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.ORACLES))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_same_rows(spark, db, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
