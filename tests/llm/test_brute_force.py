@@ -93,6 +93,29 @@ def test_nearest_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_recall_above_the_sample(spark):
+    """Clusters, more vectors than any fit sees, copies of a query and parts divided again: recall, order and ties."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 16))[rng.integers(0, 60, 11_000)] + 0.4 * rng.standard_normal((11_000, 16))
+    x[1:120:2] = x[0]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    asked = F.col("id") % 100 == 0
+    whole = ann.nearest(df, asked).toPandas()
+    split = ann.nearest(df, asked, leaf_rows=64).toPandas()
+    for got in (whole, split):
+        hit = total = 0
+        for i, near in got.groupby("query_id"):
+            near = near.sort_values("rank")
+            s = np.einsum("ij,ij->i", x, np.broadcast_to(x[i], x.shape)).copy()
+            s[i] = -np.inf
+            assert near["rank"].tolist() == list(range(1, 21)) and np.abs(near.score - s[near.vec_id]).max() < 1e-12
+            order = list(zip(-near.score, near.vec_id))
+            assert order == sorted(order)
+            hit, total = hit + len(set(np.lexsort((np.arange(len(s)), -s))[:20]) & set(near.vec_id)), total + 20
+        assert total == 20 * 110 and hit / total >= 0.9
+    assert set(split[split.query_id == 0].vec_id) == set(whole[whole.query_id == 0].vec_id)
+
+
 def test_shards_equal_plain_scheduling(docs, texts):
     groups = Counter()
     for t in texts.values():
