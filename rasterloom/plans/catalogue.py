@@ -203,6 +203,18 @@ def transform_chain(spark: SparkSession, sf: str) -> DataFrame:
     return registration.chained(steps, 21).select("frame_idx", *[F.round(c, 9).alias(c) for c in ("scale", "dx", "dy")])
 
 
+@query(f"""SELECT frame_idx, round(4 * dx, 9) AS up_dx, round(4 * dy, 9) AS up_dy, round(scale * 3 + dx, 9) AS px, round(scale * -5 + dy, 9) AS py,
+  round(0.5::DOUBLE * scale, 9) AS then_scale, round(0.5::DOUBLE * dx + 1, 9) AS then_dx, round(0.5::DOUBLE * dy - 2, 9) AS then_dy FROM ({STEPS})""")
+def transform_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    """A transform two levels up, at the point (3, -5), and followed by a halving with a shift."""
+    k = F.col("id")
+    t = F.struct((1 + (k % 3 - 1) / 64).alias("scale"), ((k % 5 - 2) / 4).alias("dx"), ((k % 4 - 1) / 8).alias("dy"))
+    half = F.struct(F.lit(0.5).alias("scale"), F.lit(1.0).alias("dx"), F.lit(-2.0).alias("dy"))
+    up, both, (px, py) = scalar.scaled_up(t, 2), scalar.then(t, half), scalar.applied(t, F.lit(3.0), F.lit(-5.0))
+    named = {"up_dx": up["dx"], "up_dy": up["dy"], "px": px, "py": py, "then_scale": both["scale"], "then_dx": both["dx"], "then_dy": both["dy"]}
+    return spark.range(21).select(k.cast("int").alias("frame_idx"), *[F.round(c, 9).alias(n) for n, c in named.items()])
+
+
 @query("""SELECT CAST(k AS INTEGER) AS frame_idx, CAST(CASE WHEN k > 10 THEN k - 1 ELSE k + 1 END AS INTEGER) AS reference FROM (SELECT unnest(range(21)) AS k) WHERE k <> 10""")
 def registration_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return registration.pairs(spark.range(21).select(F.col("id").cast("int").alias("frame_idx")), 21)

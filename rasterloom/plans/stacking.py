@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..operators import bands
 from ..sources import discovery, sinks, tiff
 from ..sources.rasters import stored
+from . import pictures
 from .control import RunControl, Workload, enough_scratch, memory_limit
-from .params import Params, RasterError
+from .params import BufferSize, Params, RasterError
 
 #: Strips that a task reads.
 STRIPS = 8
@@ -68,11 +69,20 @@ def linear_lines(heads: DataFrame, w: int, h: int) -> bands.Rows:
     return bands.Rows(lines, w, h, 3)
 
 
-def fuse_lines(r: bands.Rows, n: int, params: Params, control: RunControl, transforms: DataFrame | None = None) -> DataFrame:
-    """y, data: the fused lines of ``n`` frames; every stage is a table, polls ``control`` and counts its seconds."""
+def fuse_lines(r: bands.Rows, n: int, params: Params, control: RunControl, transforms: DataFrame | None = None, debug: str | None = None) -> DataFrame:
+    """y, data: the fused lines of ``n`` frames; every stage is a table, polls ``control`` and counts its seconds.
+
+    Diagnostic pictures go to the folder ``debug``. Each frame needs one transform, else BufferSize is raised.
+    """
     with control.stage("register"):
         transforms = stored(transforms if transforms is not None else bands.registered(r, n, params.registration_level))
+        held = transforms.agg(F.count("frame_idx").alias("rows"), F.count_distinct(F.when(F.col("frame_idx").between(0, n - 1), F.col("frame_idx"))).alias("frames")).first()
+        if (held.rows, held.frames) != (n, n):
+            raise BufferSize(f"{held.rows} transforms of {held.frames} frames, {n} are needed")
         ts = bands.of_frames(transforms, n)
+    if debug:
+        with control.stage("debug"):
+            pictures.write_debug(r, transforms, n, debug)
     with control.stage("focus"):
         focus = stored(bands.focus_and_guide(r, ts, params.focus_radius, params.guide_perceptual))
     with control.stage("weights"):
@@ -81,7 +91,9 @@ def fuse_lines(r: bands.Rows, n: int, params: Params, control: RunControl, trans
         return stored(bands.fuse(r, planes, transforms, n, params.fusion, params.pyramid_floor, step=stored))
 
 
-def stack_folder(spark: SparkSession, folder: str, output: str, params: Params = Params(), control: RunControl | None = None, excluded: list[int] | None = None, ram: int | None = None) -> str:
+def stack_folder(
+    spark: SparkSession, folder: str, output: str, params: Params = Params(), control: RunControl | None = None, excluded: list[int] | None = None, ram: int | None = None, debug: str | None = None
+) -> str:
     """Fuse the frames of ``folder`` into the 16-bit TIFF ``output``; raises the errors of :mod:`params`."""
     control = control or RunControl(spark)
     discovery.ensure_outside(output, folder)
@@ -96,7 +108,7 @@ def stack_folder(spark: SparkSession, folder: str, output: str, params: Params =
         raise RasterError(f"{peak} bytes are needed with {readers} reader, {limit} are allowed")
     if not enough_scratch(work, os.path.dirname(os.path.abspath(output))):
         raise RasterError(f"{work.scratch_bytes()} bytes of scratch space are needed")
-    lines = fuse_lines(linear_lines(heads, first.width, first.height), n, params, control)
+    lines = fuse_lines(linear_lines(heads, first.width, first.height), n, params, control, debug=debug)
     with control.stage("write"):
         sinks.write_lines(lines, first.width, first.height, output)
     return output

@@ -1,6 +1,9 @@
 """Raster operators against NumPy and against their own invariants; sources, sinks and controls."""
 
 import os
+import struct
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar
 from rasterloom.operators import bands, coverage, fusion, metrics, registration, stencil, tiles, weights
-from rasterloom.plans import control, params, pipeline, stacking
+from rasterloom.plans import control, params, pictures, pipeline, stacking
 from rasterloom.sources import discovery, sinks, tiff
 from rasterloom.sources.rasters import Raster
 from rasterloom.streaming.fold import SelectFold
@@ -293,8 +296,9 @@ def test_folder_run_end_to_end_and_its_errors(spark, tmp_path):
     frames_in(tmp_path / "s", n=2, h=64, w=64)
     small = params.Params(registration_level=0, focus_radius=1, guide_radius=1, pyramid_floor=16)
     run = control.RunControl(spark)
-    out = stacking.stack_folder(spark, str(tmp_path / "s"), str(tmp_path / "o.tif"), small, run)
-    assert tiff.probe(out).width == 64 and set(run.seconds) == {"discover", "register", "focus", "weights", "fuse", "write"} and run.progress()[0] >= 0
+    out = stacking.stack_folder(spark, str(tmp_path / "s"), str(tmp_path / "o.tif"), small, run, debug=str(tmp_path / "d"))
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["luma_00000.png", "luma_00001.png", "overlay.png"]
+    assert tiff.probe(out).width == 64 and set(run.seconds) == {"discover", "register", "debug", "focus", "weights", "fuse", "write"} and run.progress()[0] >= 0
     with pytest.raises(params.OutputInsideStack):
         stacking.stack_folder(spark, str(tmp_path / "s"), str(tmp_path / "s" / "o.tif"), small)
     with pytest.raises(params.RasterError, match="allowed"):
@@ -305,3 +309,48 @@ def test_folder_run_end_to_end_and_its_errors(spark, tmp_path):
     tiff.write(str(tmp_path / "s" / "frame_99.tif"), 5, 4, iter(np.zeros((4, 5, 3), dtype=np.uint16)))
     with pytest.raises(params.Geometry):
         stacking.stack_folder(spark, str(tmp_path / "s"), out, small)
+
+
+def png(path):
+    data, at, body = Path(path).read_bytes(), 8, b""
+    w, h, _, kind = struct.unpack(">IIBB", data[16:26])
+    while at < len(data):
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        body += data[at + 8 : at + 8 + size] if data[at + 4 : at + 8] == b"IDAT" else b""
+        at += size + 12
+    rows = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(h, -1)
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(h, w, 3) if kind == 2 else rows[:, 1:]
+
+
+def test_pictures(spark, tmp_path):
+    """Shrunk by a power of two, remainders dropped; the first frame's shift shrinks with its picture."""
+    rng = np.random.default_rng(4)
+    base = np.kron(rng.random((12, 14)), np.ones((4, 4)))
+    frames = [np.repeat(np.roll(base, (0, 4 * (k == 0)), (0, 1))[:46, :, None], 3, axis=2) for k in range(3)]
+    r = bands.Rows(spark.createDataFrame([(k, y, f[y].ravel().tolist()) for k, f in enumerate(frames) for y in range(46)], "frame_idx int, y int, data array<double>"), 56, 46)
+    ts = spark.createDataFrame([(0, 1.0, 4.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0)], "frame_idx int, scale double, dx double, dy double")
+    paths = pictures.write_debug(r, ts, 3, str(tmp_path), limit=14)
+    assert [Path(p).name for p in paths] == ["luma_00000.png", "luma_00001.png", "luma_00002.png", "overlay.png"]
+    t = np.log1p(base[::4, ::4][:11])
+    assert np.abs(png(paths[1]).astype(int) - (t - t.min()) / (t.max() - t.min()) * 255).max() <= 1
+    over = png(paths[3]).astype(int)
+    assert over.shape == (11, 14, 3) and np.abs(over[:, :-1, 0] - over[:, :-1, 1]).max() <= 1 and not over[..., 2].any()
+    thumb = pictures.thumbnail(r, 1, width=7, rows=2)
+    want = frames[1][:40].reshape(5, 8, 7, 8, 3)[:, :2].mean(axis=(1, 3))
+    want = np.where(want <= 0.0031308, want * 12.92, 1.055 * want ** (1 / 2.4) - 0.055) * 255
+    assert thumb.shape == (5, 7, 3) and np.abs(thumb - want).max() <= 0.5 + 1e-9
+
+
+def test_each_frame_needs_a_transform(spark):
+    r = bands.Rows(spark.createDataFrame([(0, 0, [0.0] * 6)], "frame_idx int, y int, data array<double>"), 2, 1)
+    for rows in ([(0, 1.0, 0.0, 0.0)], [(0, 1.0, 0.0, 0.0), (0, 1.0, 0.0, 0.0)], [(0, 1.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0)]):
+        with pytest.raises(params.BufferSize):
+            stacking.fuse_lines(r, 2, params.Params(), control.RunControl(spark), spark.createDataFrame(rows, "frame_idx int, scale double, dx double, dy double"))
+
+
+def test_readers_scratch_and_exclusion(spark, tmp_path):
+    assert control.readers_for(10, 100, 8) == 8 and control.readers_for(50, 100, 8) <= 2
+    frames = spark.createDataFrame([("s", f"p{k}", k) for k in range(4)], "stack string, path string, frame_idx int")
+    kept = discovery.included(frames, [1]).orderBy("frame_idx").collect()
+    assert [q.path for q in kept] == ["p0", "p2", "p3"]
