@@ -18,7 +18,7 @@ left when one ends, so the driver's work also grows with the square of the numbe
 Defined results: a null source is a source of its own; a null id is kept; repeated rows take neighbouring
 places; an empty table gives no rows; texts are not looked at; further columns are carried along by
 :func:`mix` and must not begin with an underscore (:func:`in_mix_order` takes any). Rows of a source are taken in the
-order of a hash of their id.
+order of the MD5 of their id as text.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import salted_rank
+from .shared import HASH_BITS, leading_bits, salted_rank
 
 BLOCK_ROWS = 4
 RESOLUTION = 4_096
@@ -145,8 +145,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     ))
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(slots) if slots else [], pa.int32()))
     schedule = F.broadcast(spark.createDataFrame(pa.table({"_stretch": pa.array(names, pa.string()), "_piece": pa.array(pieces, pa.int64()), "_own": lists})))
-    hashed = keyed.withColumn("_hash", F.xxhash64(F.lit(3), F.col(id_col)))
-    salt = F.shiftrightunsigned("_hash", 64 - (PARTS.bit_length() - 1))
+    hashed = keyed.withColumn("_hash", leading_bits(F.md5(F.col(id_col).cast("string"))))
+    salt = F.shiftright("_hash", HASH_BITS - (PARTS.bit_length() - 1))
     ranked = salted_rank(hashed, ["_key"], salt, [F.col("_hash"), F.col(id_col)], "_rank", PARTS)
     at = (
         ranked.join(plans, "_key")

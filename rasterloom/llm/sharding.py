@@ -8,7 +8,7 @@ loads decide how many jobs of a run of equal ones each shard takes, by the same
 that the run fills them to. The schedule is that of plain scheduling at any number of groups. Different sizes whose
 sum is the input's bytes are at most the square root of twice the bytes (a quarter of a million for 30 GB, 14 million
 for 100 TB), and that is what the driver holds. A group then finds its shard from its rank among those of its size,
-which comes from salted parts; the runs' shares are broadcast up to ``BROADCAST_SIZES`` sizes and joined beyond.
+in the order of its text's MD5, which comes from salted parts; the runs' shares are broadcast up to ``BROADCAST_SIZES`` sizes and joined beyond.
 
 Defined results: a null text has no bytes, size 1, checksum 0, and all null texts are one group, apart from
 the empty text's; a null id is kept; repeated rows each get a slot of their own; an empty table gives no
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, salted_rank
+from .shared import HASH_BITS, cut, leading_bits, salted_rank
 
 BROADCAST_SIZES = 1 << 18
 RANK_PARTS = 64
@@ -74,12 +74,11 @@ def lpt_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-            F.xxhash64(F.isnull(text), text).alias("h1"),
-            F.xxhash64(F.lit(17), text).alias("h2"),
+            F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("digest"),
         ),
         "shard-rows",
     )
-    groups = cut(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "shard-groups")
+    groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
     sizes = groups.groupBy("bytes").count().toArrow().sort_by([("bytes", "descending")])
     each = list(zip(sizes.column(0).to_pylist(), sizes.column(1).to_pylist()))
     # The ranks below which a group of a size goes to each shard.
@@ -88,15 +87,17 @@ def lpt_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     dealt = spark.createDataFrame(pa.table({"bytes": pa.array([s for s, _ in each], pa.int64()), "ends": lists}))
     if len(each) <= BROADCAST_SIZES:
         dealt = F.broadcast(dealt)
-    salt = F.pmod("h2", F.lit(RANK_PARTS))
-    ranked = salted_rank(groups, ["bytes"], salt, [F.col("h1"), F.col("h2")], "rank", RANK_PARTS)
+    salt = F.shiftright(leading_bits(F.hex("digest")), HASH_BITS - (RANK_PARTS.bit_length() - 1))
+    ranked = salted_rank(groups, ["bytes"], salt, [F.col("digest")], "rank", RANK_PARTS)
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
     # Written first: a join of two plain tables is one whose hot groups Spark can split.
-    of_group = cut(ranked.join(dealt, "bytes").select("h1", "h2", shard.cast("int").alias("shard")), "shard-of")
-    sharded = rows.join(of_group, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard")
+    of_group = cut(ranked.join(dealt, "bytes").select("digest", shard.cast("int").alias("shard")), "shard-of")
+    sharded = rows.join(of_group, "digest").select("doc_id", "size", "text_crc32", "shard")
     parts = max(1, SLOT_PARTS // n_shards)
-    salt = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts))
-    slots = salted_rank(sharded, ["shard"], salt, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot", parts)
+    at = leading_bits(F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in ("doc_id", "size", "text_crc32")])))
+    order = [F.col(c) for c in ("at", "doc_id", "size", "text_crc32")]
+    # Parts in the order of ``at``, so that a slot is the rank in that order, however many parts there are.
+    slots = salted_rank(sharded.withColumn("at", at), ["shard"], F.expr(f"(at >> {HASH_BITS - 30}) * {parts} >> 30"), order, "slot", parts)
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: Bits of a digest that order rows.
+HASH_BITS = 60
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -67,6 +69,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def leading_bits(digest: Column) -> Column:
+    """The first ``HASH_BITS`` bits of a hex digest as a non-negative long; 0 for null."""
+    return F.coalesce(F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"), F.lit(0))
+
+
 def salted_rank(df: DataFrame, keys: list[str], salt: Column, order: list[Column], out: str, salts: int) -> DataFrame:
     """Add ``out``, the gapless rank from 0 of each row inside its key, without bringing a key together.
 
