@@ -90,10 +90,24 @@ def chroma(r: Raster) -> DataFrame:
 
 
 def nearest_frame(frames: DataFrame, value: str, frame: str = "frame_idx") -> DataFrame:
-    """For each frame the other of the nearest value (few rows: a row a frame), ties to the lower frame."""
-    b = F.broadcast(frames.select(F.col(frame).alias("other"), F.col(value).alias("_b")))
-    pairs = frames.select(frame, F.col(value).alias("_a")).join(b, F.col(frame) != F.col("other"))
-    return pairs.groupBy(frame).agg(F.min(F.struct(F.abs(F.col("_a") - F.col("_b")).alias("d"), "other")).alias("m")).select(frame, F.col("m.other").alias("nearest"))
+    """For each frame the other of the nearest value, ties to the lower frame; none for a null value or a lone frame.
+
+    Only the lowest frames of the same value and of the values beside it can be nearest, so no pairs are made.
+    """
+    own = frames.select(frame, F.col(value).alias("_v")).where("_v is not null")
+    line = Window.orderBy("_v")  # a row a different value of a stack's frames
+    lowest = own.groupBy("_v").agg(F.min(frame).alias("_low"))
+    beside = lowest.select("_v", "_low", *[f(F.struct("_v", "_low")).over(line).alias(n) for n, f in (("_below", F.lag), ("_above", F.lead))])
+    both = own.join(beside, "_v")
+    second = both.where(F.col(frame) != F.col("_low")).groupBy("_v").agg(F.min(frame).alias("_second"))
+    both = both.join(second, "_v", "left")
+
+    def candidate(v: Column, other: Column) -> Column:
+        return F.when(other.isNotNull(), F.struct(F.abs(F.col("_v") - v).alias("d"), other.alias("other")))
+
+    same = F.when(F.col(frame) == F.col("_low"), F.col("_second")).otherwise(F.col("_low"))
+    found = [candidate(F.col("_v"), same), *[candidate(F.col(f"{n}._v"), F.col(f"{n}._low")) for n in ("_below", "_above")]]
+    return both.select(frame, F.array_min(F.array(*found)).getField("other").alias("nearest")).where("nearest is not null")
 
 
 def envelope(frames: Raster, result: Raster, col: str) -> DataFrame:

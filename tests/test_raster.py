@@ -105,6 +105,13 @@ def test_quantile_is_an_element(spark):
     assert metrics.at_rank(df, ["k"], "v", {"a": 0.0, "b": 0.5, "c": 1.0}).collect()[0][1:] == (1, 5, 9)
 
 
+def test_nearest_frame_against_all_pairs(spark):
+    values = [*np.random.default_rng(5).integers(0, 25, 40).tolist(), 90, -40]
+    got = {r.frame_idx: r.nearest for r in metrics.nearest_frame(spark.createDataFrame([*enumerate(map(float, values)), (99, None)], "frame_idx int, v double"), "v").collect()}
+    assert got == {i: min((abs(v - w), j) for j, w in enumerate(values) if j != i)[1] for i, v in enumerate(values)}
+    assert metrics.nearest_frame(spark.createDataFrame([(0, 1.0)], "frame_idx int, v double"), "v").count() == 0
+
+
 def test_scalar_edges(spark):
     row = spark.range(1).select(
         scalar.quantize16(F.lit(float("nan"))).alias("nan"), scalar.quantize16(F.lit(2.0)).alias("over"), scalar.srgb_to_linear(F.lit(0.5)).alias("half"),
