@@ -1,7 +1,7 @@
 """Registration to fusion on rows of pixels as arrays, for large frames: each task holds bands, never a frame.
 
 A table of rows is (frame_idx, y, data): a line of a frame, its pixels interleaved. A stage joins the lines with a
-small table of the lines that each band of its result needs (a row a frame and band, broadcast), and works on bands
+small table of the lines that each band of its result needs (a row a frame and band, broadcast up to a bound), and works on bands
 with the kernels of :mod:`slabs`. What runs over frames (arg-max, sums, selection) streams a line's frames in order
 through one running line, so that memory does not grow with the number of frames. Results are the pixel layout's.
 """
@@ -23,6 +23,8 @@ from .fusion import Blend, Select
 from .slabs import Slab
 
 BAND = 256
+#: Ranges of lines, some 20 bytes each, that are broadcast; more are joined.
+BROADCAST_RANGES = 1 << 18
 Transform = tuple[float, float, float]
 STILL: Transform = (1.0, 0.0, 0.0)
 
@@ -54,7 +56,9 @@ def banded(lines: DataFrame, ranges: list[tuple], on: list[str], kernel: Callabl
     """``kernel`` for each band over the lines it needs; ``ranges``: (*on, band, lo, hi), a row a frame (or level) and band."""
     spark = lines.sparkSession
     keys = ", ".join(f"{k} int" for k in on)
-    table = F.broadcast(spark.createDataFrame(ranges, f"{keys}{', ' if keys else ''}band int, lo int, hi int"))
+    table = spark.createDataFrame(ranges, f"{keys}{', ' if keys else ''}band int, lo int, hi int")
+    if len(ranges) <= BROADCAST_RANGES:
+        table = F.broadcast(table)
     wanted = (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))
     dealt = (lines.join(table, on) if on else lines.crossJoin(table)).where(wanted).drop("lo", "hi")
     group = [k for k in ("frame_idx", "band") if k in dealt.columns]

@@ -246,9 +246,11 @@ def test_display_plane_and_samples(spark, noise):
 
 
 @pytest.mark.parametrize("kind", ["select", "blend"])
-@pytest.mark.parametrize("band", [256, 8])
-def test_bands_fuse_as_pixels_do(spark, kind, band):
+@pytest.mark.parametrize("band, broadcast", [(256, True), (8, True), (8, False)])
+def test_bands_fuse_as_pixels_do(spark, monkeypatch, kind, band, broadcast):
     """Odd sizes, several levels, transforms with gaps at the borders: the row layout gives the pixel layout's samples."""
+    if not broadcast:
+        monkeypatch.setattr(bands, "BROADCAST_RANGES", 0)
     rng = np.random.default_rng(5)
     rows = [(f, y, x, *map(float, rng.random(3))) for f in range(3) for y in range(21) for x in range(19)]
     r = Raster(spark.createDataFrame(rows, "frame_idx int, y int, x int, r double, g double, b double"), ("frame_idx",), 19, 21, ("r", "g", "b"))
